@@ -211,6 +211,8 @@ def active_flows(spark, d):
 
 
 def _agg(name: str, e: str, places: int = 6) -> str:
+    if places == 4:          # times have six decimals: stay clear of rounding ties
+        return f"floor(coalesce({e}, 0) * 1e4 + 0.501e0) / 1e4 AS {name}"
     return f"round(coalesce({e}, 0), {places}) AS {name}"
 
 
@@ -228,9 +230,11 @@ def flow_features(spark, d):
     """A9, W11, W14, P27, P30."""
     f = FL.flow_features(X.packets(spark, d), IDLE, ACTIVE)
     four = ("iat_mean", "iat_std", "iat_min", "iat_max", "fwd_iat_mean", "bwd_iat_std")
-    r = r6(f.select("first_ts", "src_ip", "proto", "duration", "fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_ip_bytes", "pkts_per_s", "bytes_ratio", *four,
-                    "pkt_size_mean", "pkt_size_std", "ttl_mean", "flag_syn", "flag_ack", "flag_fin", "handshake_complete"))
-    return r.select(*[F.round(c, 4).alias(c) if c in four else F.col(c) for c in r.columns])
+    cols = ["first_ts", "src_ip", "proto", "duration", "fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_ip_bytes", "pkts_per_s", "bytes_ratio", *four,
+            "pkt_size_mean", "pkt_size_std", "ttl_mean", "flag_syn", "flag_ack", "flag_fin", "handshake_complete"]
+    off_tie = lambda c: (F.floor(F.col(c) * 1e4 + 0.501) / 1e4).alias(c)                # noqa: E731
+    exact = f.select(*[off_tie(c) if c in four else F.col(c) for c in cols])
+    return exact.select(*[F.round(c, 6).alias(c) if t == "double" and c not in four else F.col(c) for c, t in exact.dtypes])
 
 
 @query("flow_volumes", f"""{SEG}, dr AS (SELECT *, outw = first_value(outw) OVER (PARTITION BY user_id, episode, seg ORDER BY ts, seq) AS fwd FROM fl)
