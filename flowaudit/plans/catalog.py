@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import corpus, detection, learning, statistics, telemetry  # noqa: F401
+from . import corpus, detection, learning, live, statistics, telemetry  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
