@@ -71,7 +71,7 @@ def sigmoid(c) -> Column:
 
 def odds(c) -> Column:
     c = as_col(c)
-    return c / (1.0 - c)
+    return F.try_divide(c, 1.0 - c)
 
 
 def logit(c) -> Column:
@@ -137,13 +137,14 @@ def balanced_accuracy(tp="tp", fp="fp", fn="fn", tn="tn") -> Column:
 def wilson(k, n, upper: bool, z: float = NORMAL_95) -> Column:
     """One end of the Wilson score interval, NULL for n <= 0."""
     k, n = dbl(k), dbl(n)
+    n = F.when(n > 0, n)                       # NULL where there is nothing to divide by
     p = k / n
     d = 1.0 + z * z / n
     centre = p + z * z / (2.0 * n)
     half = z * F.sqrt(p * (1.0 - p) / n + z * z / (4.0 * n * n))
     end = F.least(F.lit(1.0), (centre + half) / d) if upper else \
         F.greatest(F.lit(0.0), (centre - half) / d)
-    return F.when(n > 0, end)
+    return F.when(n.isNotNull(), end)
 
 
 def tri(lo, hi, bound: float, below: bool) -> Column:
@@ -163,8 +164,8 @@ def combine(*outcomes) -> Column:
 def pi_star(ppv_, pi: float = PI, rho: float = RHO) -> Column:
     """Prevalence at which the same likelihood ratio reaches precision rho."""
     p = as_col(ppv_)
-    lr = p / (1.0 - p) * ((1.0 - pi) / pi)
-    o = (rho / (1.0 - rho)) / lr
+    lr = F.try_divide(p, 1.0 - p) * ((1.0 - pi) / pi)
+    o = F.try_divide(F.lit(rho / (1.0 - rho)), lr)
     return o / (1.0 + o)
 
 

@@ -111,7 +111,7 @@ def conflict_ceiling(df: DataFrame, cols: list[str], y: str = "y") -> DataFrame:
     g = content_counts(df, cols, y).withColumn("n0", F.col("n") - F.col("n1"))
     tot = g.agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"))
     s1, s0 = tot.select("s1").scalar(), tot.select("s0").scalar()
-    pred = (F.col("n1") / s1 > F.col("n0") / s0).cast("int")
+    pred = F.coalesce((S.ratio("n1", s1) > F.coalesce(S.ratio("n0", s0), F.lit(0.0))).cast("int"), F.lit(0))
     mixed = (F.col("n1") > 0) & (F.col("n0") > 0)
     g = g.withColumn("_p", pred).withColumn("_m", mixed.cast("int"))
     r = g.agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("_m").alias("n_conflicting_records"),
@@ -317,8 +317,8 @@ def association(ct: DataFrame, keys: list[str] = ()) -> DataFrame:
     N, lnN = F.col("N"), F.log("N")
     mi = (F.col("sab") - F.col("sa") - F.col("sb")) / N + lnN
     ha, hb = lnN - F.col("sa") / N, lnN - F.col("sb") / N
-    v = F.sqrt(F.greatest(F.col("phi") - 1.0, F.lit(0.0)) / (F.least("ra", "rb") - 1))
-    return r.select(*k, F.when((ha + hb) > 0, mi / ((ha + hb) / 2)).otherwise(1.0).alias("nmi"),
+    v = F.sqrt(S.ratio(F.greatest(F.col("phi") - 1.0, F.lit(0.0)), F.least("ra", "rb") - 1))
+    return r.select(*k, F.when((ha + hb) > 0, S.ratio(mi, (ha + hb) / 2)).otherwise(1.0).alias("nmi"),
                     F.when(F.least("ra", "rb") >= 2, v).alias("cramers_v"),
                     (F.col("modal") / N).alias("purity"))
 

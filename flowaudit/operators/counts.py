@@ -202,17 +202,17 @@ def rank_metrics(df: DataFrame, keys: list[str], score: str = "score", y: str =
     prev_fp = F.col("fp") - F.col("neg")
     # pairs in which a positive outranks a negative, ties counted one half
     auc_part = F.col("pos") * ((n - F.col("fp")) + 0.5 * F.col("neg"))
-    ap_part = F.col("pos") / p * F.try_divide(S.dbl("tp"), S.dbl(F.col("tp") + F.col("fp")))
+    ap_part = S.ratio("pos", p) * F.try_divide(S.dbl("tp"), S.dbl(F.col("tp") + F.col("fp")))
     # benign as positive on 1 - score: the same table read from the low end
     low_neg = n - prev_fp
     low_pos = p - (F.col("tp") - F.col("pos"))
-    apb_part = F.col("neg") / n * F.try_divide(S.dbl(low_neg), S.dbl(low_neg + low_pos))
+    apb_part = S.ratio("neg", n) * F.try_divide(S.dbl(low_neg), S.dbl(low_neg + low_pos))
     g = c.groupBy(*keys).agg(
         F.max("tp_all").alias("n_pos"), F.max("fp_all").alias("n_neg"),
         F.sum(auc_part).alias("_a"), F.sum(ap_part).alias("_p"), F.sum(apb_part).alias("_b"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return g.select(*keys, "n_pos", "n_neg",
-                    F.when(both, F.col("_a") / (S.dbl("n_pos") * F.col("n_neg"))).alias("roc_auc"),
+                    F.when(both, S.ratio("_a", S.dbl("n_pos") * F.col("n_neg"))).alias("roc_auc"),
                     F.when(both, F.col("_p")).alias("pr_auc"),
                     F.when(both, F.col("_b")).alias("pr_auc_benign"))
 

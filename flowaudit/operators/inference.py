@@ -27,13 +27,14 @@ def nb_intervals(df: DataFrame, keys: list[str], metrics: list[str], ratio: floa
     q = ratio if isinstance(ratio, Column) else F.lit(float(ratio))
     for m in metrics:
         n, mean, sd = F.col(f"{m}_n"), F.col(f"{m}_mean"), F.col(f"{m}_sd")
+        n = F.when(n > 0, n)
         live = (n >= 2) & (sd > 0)
         tq = D.t_quantile(n)
         se_t, se_nb = sd / F.sqrt(S.dbl(n)), sd * F.sqrt(1.0 / S.dbl(n) + q)
         for name, se in (("t", se_t), ("nb", se_nb)):
             r = (r.withColumn(f"{m}_{name}_lo", F.when(live, mean - tq * se).otherwise(mean))
                  .withColumn(f"{m}_{name}_hi", F.when(live, mean + tq * se).otherwise(mean))
-                 .withColumn(f"{m}_t_{name}", F.when(live, mean / se)))
+                 .withColumn(f"{m}_t_{name}", F.when(live, F.try_divide(mean, se))))
     return r
 
 
@@ -44,7 +45,7 @@ def paired_interval(df: DataFrame, keys: list[str], diff: str | Column, ratio: f
     r = nb_intervals(d, keys, ["d"], ratio)
     r = (r.withColumnsRenamed({"d_n": "n", "d_mean": "mean", "d_t_lo": "t_lo", "d_t_hi": "t_hi",
                                "d_nb_lo": "nb_lo", "d_nb_hi": "nb_hi"})
-         .withColumn("d_z", F.when(F.col("d_sd") > 0, F.col("mean") / F.col("d_sd"))))
+         .withColumn("d_z", F.when(F.col("d_sd") > 0, S.ratio("mean", "d_sd"))))
     if p_values:
         dfree = S.dbl("n") - 1.0
         r = (r.withColumn("p_t", D.t_p_value(F.col("d_t_t"), dfree))
@@ -56,13 +57,13 @@ def group_ratio(runs: DataFrame, keys: list[str] = (), split: str = "split_seed"
                 test: str = "n_test_groups", train: str = "n_train_groups") -> DataFrame:
     """I3. Ratio of totals of test to train groups over distinct splits."""
     d = runs.select(*keys, split, test, train).dropDuplicates([*keys, split])
-    return d.groupBy(*keys).agg((F.sum(test) / F.sum(train)).alias("ratio_groups"))
+    return d.groupBy(*keys).agg(S.ratio(F.sum(test), F.sum(train)).alias("ratio_groups"))
 
 
 def row_ratio(runs: DataFrame, keys: list[str] = (), split: str = "split_seed") -> DataFrame:
     """I3. Mean of n_eval / n_train over distinct splits."""
     d = runs.select(*keys, split, "n_eval", "n_train").dropDuplicates([*keys, split])
-    return d.groupBy(*keys).agg(F.avg(F.col("n_eval") / F.col("n_train")).alias("ratio_rows"))
+    return d.groupBy(*keys).agg(F.avg(S.ratio("n_eval", "n_train")).alias("ratio_rows"))
 
 
 def holm(df: DataFrame, family: list[str], p: str, out: str | None = None) -> DataFrame:
@@ -100,7 +101,7 @@ def paired_tests(df: DataFrame, keys: list[str], split: str, a: str, b: str) ->
     w = ties.groupBy(*keys).agg(F.sum(F.col("r") * F.col("cp")).alias("w_plus"),
                                 F.sum("c").alias("nz"), F.sum(c * c * c - c).alias("_tie"))
     var = n * (n + 1.0) * (2.0 * n + 1.0) / 24.0 - F.col("_tie") / 48.0
-    w = w.withColumn("wilcoxon_z", (F.col("w_plus") - n * (n + 1.0) / 4.0) / F.sqrt(var))
+    w = w.withColumn("wilcoxon_z", S.ratio(F.col("w_plus") - n * (n + 1.0) / 4.0, F.sqrt(var)))
     w = w.withColumn("wilcoxon_p", 2.0 * (1.0 - D.norm_cdf_col(F.abs("wilcoxon_z")))).drop("_tie", "nz")
     return t.join(w, keys, "left")
 
@@ -461,7 +462,7 @@ def control_position(df: DataFrame, keys: list[str], value: str, temporal: str |
         F.count_if(x <= F.col("temporal")).alias("_le"))
     delta = F.col("temporal") - F.col("control_mean")
     return (g.withColumn("delta", delta)
-            .withColumn("z", F.when(F.col("control_sd") > 0, delta / F.col("control_sd")))
+            .withColumn("z", F.when(F.col("control_sd") > 0, S.ratio(delta, "control_sd")))
             .withColumn("outside_control_range", ((F.col("temporal") < F.col("control_min"))
                                                   | (F.col("temporal") > F.col("control_max"))).cast("int"))
             .withColumn("p_low", (1.0 + F.col("_le")) / (1.0 + F.col("n_control"))).drop("_le"))
