@@ -191,7 +191,7 @@ def isolation_forest(benign: DataFrame, cols: list[str], row_id: str, n_trees: i
                       F.explode(pick).alias("tree"))
     d = d.withColumn("_h", S.hash_int(F.lit(f"if{seed}"), "tree", "_id"))
 
-    def grow(key, g: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_h", "_id"]).head(sample)
         x = np.stack(g["_v"].to_numpy())
         rng = np.random.default_rng([seed, int(key[0])])
