@@ -19,6 +19,14 @@ from .scalars import hash_int
 BUCKET = "_bucket"
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """Keep a reduced table that the following steps read several times.
+
+    Lost blocks are recomputed. `spark.catalog.clearCache()` frees them.
+    """
+    return df.persist()
+
+
 def n_buckets(df: DataFrame, per_partition: int = 4) -> int:
     """A few buckets per shuffle partition, so their number follows the cluster."""
     return max(8, per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

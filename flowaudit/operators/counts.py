@@ -185,7 +185,7 @@ def score_table(df: DataFrame, keys: list[str], score: str = "score", y: str = "
 def cumulative_positive(df: DataFrame, keys: list[str], score: str = "score",
                         y: str = "y") -> DataFrame:
     """W17. Running tp and fp along descending score, per distinct score."""
-    t = O.quantile_buckets(score_table(df, keys, score, y), "score")
+    t = O.quantile_buckets(O.cached(score_table(df, keys, score, y)), "score")
     t = t.withColumn(O.BUCKET, -F.col(O.BUCKET))
     out = O.running_sums(t, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")},
                          keys, totals=True)
@@ -223,36 +223,65 @@ def brier(df: DataFrame, keys: list[str], score: str = "score", y: str = "y") ->
     return df.groupBy(*keys).agg(F.avg(d * d).alias("brier"))
 
 
+def _bin_of(rank: Column, n: Column, n_bins: int) -> Column:
+    """Bin of a 1-based rank: min(n_bins, n) bins, the first n mod k one row larger."""
+    k = F.least(F.lit(n_bins).cast("long"), n)
+    small, extra = F.floor(n / k), n % k
+    head, pos = extra * (small + 1), rank - 1
+    return F.when(pos < head, F.floor(pos / (small + 1))).otherwise(extra + F.floor((pos - head) / small)).cast("int")
+
+
 def equal_mass_bins(df: DataFrame, n_bins: int, keys: list[str], tie: list[str],
                     score: str = "score") -> DataFrame:
-    """Add `bin`: min(n_bins, n) equal-mass bins, the first n mod k bins one row larger."""
+    """Add `bin` to every row: equal-mass bins of the score, ties in the order of their hash."""
     d = O.value_rank(df, score, tie, keys, name="_rk")
-    n = F.col("_rk_all")
-    k = F.least(F.lit(n_bins).cast("long"), n)
-    small = F.floor(n / k)
-    extra = n % k
-    head = extra * (small + 1)
-    pos = F.col("_rk") - 1
-    b = F.when(pos < head, F.floor(pos / (small + 1))) \
-        .otherwise(extra + F.floor((pos - head) / small))
-    return d.withColumn("bin", b.cast("int")).drop("_rk", "_rk_all")
+    return d.withColumn("bin", _bin_of(F.col("_rk"), F.col("_rk_all"), n_bins)).drop("_rk", "_rk_all")
+
+
+def bin_sums(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15, score: str = "score",
+             y: str = "y") -> DataFrame:
+    """Sum of scores, attacks and rows of every equal-mass bin.
+
+    The bins come from the running counts of distinct scores. Only a repeated score that
+    spans a bin edge needs the order of its rows, so only those rows are read again.
+    """
+    keys = list(keys)
+    hist = O.quantile_buckets(O.cached(score_table(df, keys, score, y)), "score")
+    h = O.running_sums(hist, ["score"], {"_hi": F.col("pos") + F.col("neg")}, keys, totals=True).drop(O.BUCKET)
+    n = F.col("pos") + F.col("neg")
+    h = h.withColumn("_b", _bin_of(F.col("_hi") - n + 1, F.col("_hi_all"), n_bins)) \
+        .withColumn("_e", _bin_of(F.col("_hi"), F.col("_hi_all"), n_bins))
+    h = O.cached(h)
+    whole = h.filter(F.col("_b") == F.col("_e")).select(*keys, F.col("_b").alias("bin"), (F.col("score") * n).alias("_s"),
+                                                      F.col("pos").alias("_p"), n.alias("n"))
+    edge = h.filter(F.col("_b") < F.col("_e")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("score").alias("_v"), (F.col("_hi") - n).alias("_lo"), F.col("_hi_all").alias("_n"))
+    cond = F.col("_x") == F.col("_v")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = df.select(*keys, *tie, F.col(y).alias("_y"), F.col(score).cast("double").alias("_x")).join(edge, cond)
+    rows = rows.drop("_v", *[f"_k_{k}" for k in keys])
+    r = O.hash_rank(rows, S.hash_int(*tie), tie, [*keys, "_x"], "_r")
+    part = r.select(*keys, _bin_of(F.col("_lo") + F.col("_r"), F.col("_n"), n_bins).alias("bin"), F.col("_x").alias("_s"),
+                    F.col("_y").cast("long").alias("_p"), F.lit(1).cast("long").alias("n"))
+    return whole.unionByName(part).groupBy(*keys, "bin").agg(
+        F.sum("_s").alias("score_sum"), F.sum("_p").alias("attacks"), F.sum("n").alias("n"))
 
 
 def reliability_bins(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15,
                      score: str = "score", y: str = "y") -> DataFrame:
     """A20. Mean score, attack frequency and size per equal-mass bin."""
-    d = equal_mass_bins(df, n_bins, keys, tie, score)
-    return d.groupBy(*keys, "bin").agg(F.avg(score).alias("mean_score"),
-                                       F.avg(y).alias("attack_freq"),
-                                       F.count(F.lit(1)).alias("n"))
+    g = bin_sums(df, keys, tie, n_bins, score, y)
+    return g.select(*keys, "bin", (F.col("score_sum") / F.col("n")).alias("mean_score"),
+                    (F.col("attacks") / F.col("n")).alias("attack_freq"), "n")
 
 
 def ece(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15, score: str = "score",
         y: str = "y") -> DataFrame:
     """A19. Expected calibration error over equal-mass bins of the clipped score."""
-    d = df.withColumn("_c", S.clip(score, 0.0, 1.0))
-    b = reliability_bins(d, keys, tie, n_bins, "_c", y)
-    gap = F.col("n") * F.abs(F.col("mean_score") - F.col("attack_freq"))
+    b = bin_sums(df.withColumn("_c", S.clip(score, 0.0, 1.0)), keys, tie, n_bins, "_c", y)
+    # n_b / n * |mean - frequency| without the two divisions by n_b
+    gap = F.abs(F.col("score_sum") - F.col("attacks"))
     return b.groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 

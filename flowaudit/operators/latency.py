@@ -19,7 +19,7 @@ LOOP_TERMS_ONE = ["t_ind_ms", "t_q_ms", "t_feat1_ms", "t_inf1_ms", "t_act_ms"]
 def value_histogram(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """Distinct values with their running counts within the key (`cum`, `cum_all`)."""
     v = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    return O.running_sums(O.quantile_buckets(v, "value"), ["value"], {"cum": F.col("c")}, keys, totals=True).drop(O.BUCKET)
+    return O.running_sums(O.quantile_buckets(O.cached(v), "value"), ["value"], {"cum": F.col("c")}, keys, totals=True).drop(O.BUCKET)
 
 
 def quantile_order_ci(df: DataFrame, col: str, qs: list[float], keys: list[str], conf: float = 0.95) -> DataFrame:

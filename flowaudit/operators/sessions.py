@@ -114,7 +114,7 @@ def gap_statistics(df: DataFrame, us: str) -> DataFrame:
     Times are cut at quantiles so that the lag runs in parallel; the first record of a
     bucket takes its predecessor from the last record of the bucket before.
     """
-    t = O.quantile_buckets(df.groupBy(F.col(us).alias("t")).agg(F.count(F.lit(1)).alias("c")), "t")
+    t = O.quantile_buckets(O.cached(df.groupBy(F.col(us).alias("t")).agg(F.count(F.lit(1)).alias("c"))), "t")
     d = O.previous(t, ["t"], ["t"])
     gap = F.col("t") - F.col("_prev_t")
     d = d.withColumn("gap_s", gap / 1e6)

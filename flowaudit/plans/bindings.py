@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import spread
 
 SEEDS = [101, 102, 103, 104]
 MODELS = {"linear": 0.35, "boost": 0.5, "net": 0.65}       # weight of the label in the score
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow records: source group, volumes, label, category, capture file, flagged copies."""
-    d = table(spark, sf_dir, "lineitem")
+    d = spread(table(spark, sf_dir, "lineitem"))
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
     y = (F.col("l_returnflag") == "R").cast("int")
     d = d.withColumn("row_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents.cast("string")))
@@ -43,10 +44,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.array(*[F.struct(F.lit(m).alias("model"), u[m].alias("u"),
                              F.when(src, F.lit(k)).otherwise(F.lit(k * 0.5)).alias("k")) for m, k in MODELS.items()])
     held = {s: S.hash_unit(F.lit(f"held{s}"), "grp") < 0.2 for s in SEEDS}
-    seeds = F.array_compact(F.array(*[F.when(~src | h, F.lit(s)) for s, h in held.items()]))
+    seeds = F.array(*[F.struct(F.lit(s).alias("s"), (~src | h).alias("in")) for s, h in held.items()])
     d = d.select("row_id", "y", "category", "grp", "file", "is_copy",
                  F.when(src, "source_heldout").otherwise("target").alias("domain"), raw.alias("_r"),
-                 F.explode(seeds).alias("split_seed"))
+                 F.explode(seeds).alias("_s")).filter("_s.in").withColumn("split_seed", F.col("_s.s"))
     d = d.select("row_id", "y", "category", "grp", "file", "is_copy", "domain", "split_seed", F.explode("_r").alias("_r"))
     jitter = F.pmod(F.col("split_seed") * 37, F.lit(11)) * 0.004
     s = F.col("_r.k") * F.col("y") + (1.0 - F.col("_r.k")) * F.col("_r.u") + jitter

@@ -41,3 +41,13 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="flowaudit-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input that arrives in fewer splits than there are cores.
+
+    A large table has more splits than cores and passes unchanged; a small file of one row
+    group would otherwise be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
