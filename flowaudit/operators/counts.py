@@ -242,6 +242,9 @@ def bin_sums(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15, s
              y: str = "y") -> DataFrame:
     """Sum of scores, attacks and rows of every equal-mass bin.
 
+    Scores are summed as decimals of 12 places, so the sum does not depend on the order in
+    which tasks deliver it.
+
     The bins come from the running counts of distinct scores. Only a repeated score that
     spans a bin edge needs the order of its rows, so only those rows are read again.
     """
@@ -249,10 +252,11 @@ def bin_sums(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15, s
     hist = O.quantile_buckets(O.cached(score_table(df, keys, score, y)), "score")
     h = O.running_sums(hist, ["score"], {"_hi": F.col("pos") + F.col("neg")}, keys, totals=True).drop(O.BUCKET)
     n = F.col("pos") + F.col("neg")
+    exact = lambda c: F.col(c).cast("decimal(18,12)")                      # noqa: E731
     h = h.withColumn("_b", _bin_of(F.col("_hi") - n + 1, F.col("_hi_all"), n_bins)) \
         .withColumn("_e", _bin_of(F.col("_hi"), F.col("_hi_all"), n_bins))
     h = O.cached(h)
-    whole = h.filter(F.col("_b") == F.col("_e")).select(*keys, F.col("_b").alias("bin"), (F.col("score") * n).alias("_s"),
+    whole = h.filter(F.col("_b") == F.col("_e")).select(*keys, F.col("_b").alias("bin"), (exact("score") * n.cast("decimal(18,0)")).alias("_s"),
                                                       F.col("pos").alias("_p"), n.alias("n"))
     edge = h.filter(F.col("_b") < F.col("_e")).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("score").alias("_v"), (F.col("_hi") - n).alias("_lo"), F.col("_hi_all").alias("_n"))
@@ -262,7 +266,7 @@ def bin_sums(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15, s
     rows = df.select(*keys, *tie, F.col(y).alias("_y"), F.col(score).cast("double").alias("_x")).join(edge, cond)
     rows = rows.drop("_v", *[f"_k_{k}" for k in keys])
     r = O.hash_rank(rows, S.hash_int(*tie), tie, [*keys, "_x"], "_r")
-    part = r.select(*keys, _bin_of(F.col("_lo") + F.col("_r"), F.col("_n"), n_bins).alias("bin"), F.col("_x").alias("_s"),
+    part = r.select(*keys, _bin_of(F.col("_lo") + F.col("_r"), F.col("_n"), n_bins).alias("bin"), exact("_x").cast("decimal(37,12)").alias("_s"),
                     F.col("_y").cast("long").alias("_p"), F.lit(1).cast("long").alias("n"))
     return whole.unionByName(part).groupBy(*keys, "bin").agg(
         F.sum("_s").alias("score_sum"), F.sum("_p").alias("attacks"), F.sum("n").alias("n"))
@@ -272,7 +276,7 @@ def reliability_bins(df: DataFrame, keys: list[str], tie: list[str], n_bins: int
                      score: str = "score", y: str = "y") -> DataFrame:
     """A20. Mean score, attack frequency and size per equal-mass bin."""
     g = bin_sums(df, keys, tie, n_bins, score, y)
-    return g.select(*keys, "bin", (F.col("score_sum") / F.col("n")).alias("mean_score"),
+    return g.select(*keys, "bin", (S.dbl("score_sum") / F.col("n")).alias("mean_score"),
                     (F.col("attacks") / F.col("n")).alias("attack_freq"), "n")
 
 
@@ -282,7 +286,7 @@ def ece(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15, score:
     b = bin_sums(df.withColumn("_c", S.clip(score, 0.0, 1.0)), keys, tie, n_bins, "_c", y)
     # n_b / n * |mean - frequency| without the two divisions by n_b
     gap = F.abs(F.col("score_sum") - F.col("attacks"))
-    return b.groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias("ece"))
+    return b.groupBy(*keys).agg((S.dbl(F.sum(gap)) / F.sum("n")).alias("ece"))
 
 
 def rebin_weighted(bins: DataFrame, keys: list[str], order: list[str], n_bins: int = 15) -> DataFrame:

@@ -45,10 +45,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.when(src, F.lit(k)).otherwise(F.lit(k * 0.5)).alias("k")) for m, k in MODELS.items()])
     held = {s: S.hash_unit(F.lit(f"held{s}"), "grp") < 0.2 for s in SEEDS}
     seeds = F.array(*[F.struct(F.lit(s).alias("s"), (~src | h).alias("in")) for s, h in held.items()])
-    d = d.select("row_id", "y", "category", "grp", "file", "is_copy",
-                 F.when(src, "source_heldout").otherwise("target").alias("domain"), raw.alias("_r"),
-                 F.explode(seeds).alias("_s")).filter("_s.in").withColumn("split_seed", F.col("_s.s"))
-    d = d.select("row_id", "y", "category", "grp", "file", "is_copy", "domain", "split_seed", F.explode("_r").alias("_r"))
+    keep = ["row_id", "y", "category", "grp", "file", "is_copy"]
+    d = d.select(*keep, "_md", "l_linestatus", F.when(src, "source_heldout").otherwise("target").alias("domain"), F.explode(seeds).alias("_s"))
+    # the array is written inside explode: as a column of its own, a size filter over it would be pushed to the scan
+    d = d.filter("_s.in").select(*keep, "domain", F.col("_s.s").alias("split_seed"), F.explode(raw).alias("_r"))
     jitter = F.pmod(F.col("split_seed") * 37, F.lit(11)) * 0.004
     s = F.col("_r.k") * F.col("y") + (1.0 - F.col("_r.k")) * F.col("_r.u") + jitter
     s = F.least(F.floor(s * 10000.0) / 10000.0, F.lit(1.0))
