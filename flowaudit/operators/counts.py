@@ -290,14 +290,18 @@ def ece(df: DataFrame, keys: list[str], tie: list[str], n_bins: int = 15, score:
 
 
 def rebin_weighted(bins: DataFrame, keys: list[str], order: list[str], n_bins: int = 15) -> DataFrame:
-    """A21. Pool the bins of all seeds and regroup them by cumulative share of n."""
+    """A21. Pool the bins of all seeds and regroup them by cumulative share of n.
+
+    The weighted sums are decimals of 9 places: they do not depend on the order of the bins.
+    """
+    part = lambda c: (F.col(c) * F.col("n")).cast("decimal(28,9)")         # noqa: E731
     w = Window.partitionBy(*keys)
     run = w.orderBy("mean_score", *order).rowsBetween(Window.unboundedPreceding, 0)
     share = F.sum("n").over(run) / F.sum("n").over(w)
     d = bins.withColumn("grp_bin", F.least(F.floor(share * n_bins), F.lit(n_bins - 1)).cast("int"))
     return d.groupBy(*keys, "grp_bin").agg(
-        (F.sum(F.col("mean_score") * F.col("n")) / F.sum("n")).alias("mean_score"),
-        (F.sum(F.col("attack_freq") * F.col("n")) / F.sum("n")).alias("attack_freq"),
+        (S.dbl(F.sum(part("mean_score"))) / F.sum("n")).alias("mean_score"),
+        (S.dbl(F.sum(part("attack_freq"))) / F.sum("n")).alias("attack_freq"),
         F.sum("n").alias("n"))
 
 

@@ -1,4 +1,8 @@
-"""Every query with an SQL twin gives the same rows as DuckDB at the smallest scale."""
+"""Every query with an SQL twin gives the same rows as DuckDB at the smallest scale.
+
+Both engines round doubles to six places (some to four), so a value at a rounding edge may
+differ by one unit of the last place.
+"""
 import math
 
 import duckdb
@@ -32,7 +36,14 @@ def cell(v):
 
 def table(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    return list(pdf.columns), sorted(tuple(cell(v) for v in r) for r in pdf.itertuples(index=False))
+    rows = [tuple(cell(v) for v in r) for r in pdf.itertuples(index=False)]
+    exact = [all(c[0] != 1 or c[1].is_integer() for c in col) for col in zip(*rows)]
+    order = sorted(range(len(exact)), key=lambda i: not exact[i])           # exact columns sort first
+    return list(pdf.columns), sorted(rows, key=lambda r: [r[i] if exact[i] or r[i][0] != 1 else (1, round(r[i][1], 3)) for i in order])
+
+
+def near(a, b):
+    return a == b or (a[0] == b[0] == 1 and abs(a[1] - b[1]) <= (1.5e-6 if abs(a[1]) < 1000 else 1.5e-4))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -41,7 +52,8 @@ def test_same_rows(spark, duck, data, name):
     spark.catalog.clearCache()
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
-    assert got[1] == want[1]
+    bad = [(g, w) for g, w in zip(got[1], want[1]) if not all(near(a, b) for a, b in zip(g, w))]
+    assert not bad, bad[:3]
 
 
 def test_every_oracle_has_a_query():
