@@ -51,12 +51,12 @@ def quantile_buckets(df: DataFrame, col: str, n: int | None = None,
     hot = sorted(x for x in cuts if found.count(x) > 1)
     splits = sorted(cuts | {math.nextafter(x, math.inf) for x in hot})
     splits = [-math.inf] + [x for x in splits if math.isfinite(x)] + [math.inf]
-    b = Bucketizer(splits=splits, inputCol="_x", outputCol="_bx", handleInvalid="keep")
-    out = b.transform(df.withColumn("_x", F.col(col).cast("double")))
-    bucket = F.col("_bx").cast("long") * 4096
+    b = Bucketizer(splits=splits, inputCol="_qin", outputCol="_qout", handleInvalid="keep")
+    out = b.transform(df.withColumn("_qin", F.col(col).cast("double")))
+    bucket = F.col("_qout").cast("long") * 4096
     if tie is not None and hot:
-        bucket = bucket + F.when(F.col("_x").isin(hot), F.shiftright(tie, 20)).otherwise(0)
-    return out.withColumn(BUCKET, bucket).drop("_x", "_bx")
+        bucket = bucket + F.when(F.col("_qin").isin(hot), F.shiftright(tie, 20)).otherwise(0)
+    return out.withColumn(BUCKET, bucket).drop("_qin", "_qout")
 
 
 def running_sums(df: DataFrame, order: list, sums: dict[str, Column], keys: list[str] = (),
@@ -161,3 +161,38 @@ def first_n_by_hash(df: DataFrame, h: Column, tie: list[str], limit: Column, key
     ranked = j.filter(cut).withColumn(out, F.col("_before") + rn <= F.col("_limit"))
     return whole.unionByName(ranked).drop("_h", BUCKET, "_k_b", "_c", "_before", "_limit",
                                           *[f"_k_{k}" for k in keys])
+
+
+def value_counts(df: DataFrame, col: str, keys: list[str] = (), freq: Column | None = None) -> DataFrame:
+    """Distinct values with their count `c`, running count `cum` and total `cum_all` within keys."""
+    keys = list(keys)
+    n = F.count(F.lit(1)) if freq is None else F.sum(freq)
+    v = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("value")).agg(n.alias("c"))
+    return running_sums(quantile_buckets(cached(v), "value"), ["value"], {"cum": F.col("c")}, keys, totals=True).drop(BUCKET)
+
+
+def exact_percentiles(df: DataFrame, col: str, qs: dict[str, float], keys: list[str] = (), freq: Column | None = None) -> DataFrame:
+    """Percentiles with linear interpolation, one column per entry of `qs`.
+
+    The built-in exact percentile holds every distinct value of a group in one aggregation
+    buffer; here the two order statistics are read from running counts of the values.
+    """
+    keys = list(keys)
+    h = value_counts(df, col, keys, freq)
+    aggs, out = [F.max("cum_all").alias("_n")], []
+    for name, q in qs.items():
+        pos = F.lit(float(q)) * (F.col("cum_all") - 1)
+        lo = F.floor(pos) + 1
+        for end, r in (("a", lo), ("b", F.least(lo + 1, F.col("cum_all")))):
+            aggs.append(F.min(F.when(F.col("cum") >= r, F.col("value"))).alias(f"_{end}_{name}"))
+        p = F.lit(float(q)) * (F.col("_n") - 1)
+        out.append((F.col(f"_a_{name}") + (p - F.floor(p)) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name))
+    return h.groupBy(*keys).agg(*aggs).select(*keys, *out)
+
+
+def value_ranks(df: DataFrame, col: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, value, rank, dense): tie-averaged and dense rank of every distinct value."""
+    keys = list(keys)
+    v = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    r = running_sums(quantile_buckets(cached(v), "value"), ["value"], {"cum": F.col("c"), "dense": F.lit(1)}, keys)
+    return r.select(*keys, "value", (F.col("cum") - (F.col("c") - 1) / 2.0).alias("rank"), "dense")

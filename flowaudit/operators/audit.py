@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered as O
 from ..functions import scalars as S
 from . import space as SP
 
@@ -80,10 +81,9 @@ def joinability(a: DataFrame, b: DataFrame, ids: list[str], times: list[str], vo
 
 def byte_minima(df: DataFrame, proto: str, nbytes: str, pkts: str, min_rows: int = 100) -> DataFrame:
     """A40. Smallest and median bytes per packet per protocol with enough rows."""
-    d = df.filter(F.col(pkts) > 0).withColumn("_r", F.col(nbytes) / F.col(pkts))
-    g = d.groupBy(F.lower(F.col(proto)).alias("proto")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_r").alias("min"), F.median("_r").alias("median"))
-    return g.filter(F.col("n") >= min_rows)
+    d = df.filter(F.col(pkts) > 0).select(F.lower(F.col(proto)).alias("proto"), (F.col(nbytes) / F.col(pkts)).alias("_r"))
+    g = d.groupBy("proto").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("min")).filter(F.col("n") >= min_rows)
+    return g.join(O.exact_percentiles(d, "_r", {"median": 0.5}, ["proto"]), "proto")
 
 
 def header_share(packets: DataFrame, keys: list[str] = ("file",)) -> DataFrame:

@@ -344,8 +344,7 @@ def auc_flips(runs: DataFrame, keys: list[str], calibrator: str = "calibrator",
 
 def reference_equivalence(df: DataFrame, keys: list[str], a: str, b: str, tau: float = 0.5) -> DataFrame:
     """A56. Agreement of two scorers on the same rows."""
-    diff = F.abs(F.col(a) - F.col(b))
-    return df.groupBy(*keys).agg(
-        F.max(diff).alias("max_abs_diff"),
-        F.percentile(diff, F.lit(0.99)).alias("p99_abs_diff"),
-        F.avg((predict(a, tau) == predict(b, tau)).cast("int")).alias("decision_agreement"))
+    d = df.withColumn("_d", F.abs(F.col(a) - F.col(b)))
+    g = d.groupBy(*keys).agg(F.max("_d").alias("max_abs_diff"),
+                             F.avg((predict(a, tau) == predict(b, tau)).cast("int")).alias("decision_agreement"))
+    return g.join(O.exact_percentiles(d, "_d", {"p99_abs_diff": 0.99}, keys), keys)

@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered as O
 from ..functions import scalars as S
 from ..functions import statdist as D
 from . import counts as C
@@ -95,8 +96,8 @@ def paired_tests(df: DataFrame, keys: list[str], split: str, a: str, b: str) ->
     nz = per.filter(F.col("d") != 0).withColumn("_a", F.round(ab, 12))
     ties = nz.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("c"),
                                        F.count_if(F.col("d") > 0).alias("cp"))
-    below = Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("r", F.coalesce(F.sum("c").over(below), F.lit(0)) + (F.col("c") + 1) / 2.0)
+    ties = O.running_sums(O.quantile_buckets(O.cached(ties), "_a"), ["_a"], {"_cum": F.col("c")}, keys).drop(O.BUCKET)
+    ties = ties.withColumn("r", F.col("_cum") - (F.col("c") - 1) / 2.0)
     c, n = S.dbl("c"), F.col("nz")
     w = ties.groupBy(*keys).agg(F.sum(F.col("r") * F.col("cp")).alias("w_plus"),
                                 F.sum("c").alias("nz"), F.sum(c * c * c - c).alias("_tie"))
@@ -496,21 +497,19 @@ def kendall_tau(df: DataFrame, keys: list[str], x: str, y: str, bits: int = 31)
     (bit, higher bits) and counting, along the order of x, how many earlier rows have the
     other bit value counts each concordant and discordant pair once.
     """
-    w = Window.partitionBy(*keys)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.dense_rank().over(w.orderBy(x)).alias("rx"), F.dense_rank().over(w.orderBy(y)).alias("ry"))
-    d = d.groupBy(*keys, "rx", "ry").agg(F.count(F.lit(1)).alias("c"))
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    for c, n in (("_x", "rx"), ("_y", "ry")):
+        d = d.join(O.value_ranks(d, c, keys).select(*keys, F.col("value").alias(c), F.col("dense").alias(n)), [*keys, c])
+    d = O.cached(d.groupBy(*keys, "rx", "ry").agg(F.count(F.lit(1)).alias("c")))
     top = d.agg(F.max("ry")).first()[0] or 0
     levels = F.sequence(F.lit(0), F.lit(max(0, min(bits, int(top).bit_length()) - 1)))
     e = d.withColumn("lv", F.explode(levels))
-    pref = F.expr("shiftright(ry, lv + 1)")
-    bit = F.expr("shiftright(ry, lv)").bitwiseAND(F.lit(1))
-    e = e.withColumn("pref", pref).withColumn("bit", bit)
-    before = Window.partitionBy(*keys, "lv", "pref").orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
-    ones = F.coalesce(F.sum(F.col("bit") * F.col("c")).over(before), F.lit(0))
-    zeros = F.coalesce(F.sum((1 - F.col("bit")) * F.col("c")).over(before), F.lit(0))
-    e = e.withColumn("con", F.when(F.col("bit") == 1, zeros * F.col("c")).otherwise(0)) \
-        .withColumn("dis", F.when(F.col("bit") == 0, ones * F.col("c")).otherwise(0))
+    bit = F.expr("cast(shiftright(ry, lv) & 1 as long)")
+    e = e.withColumn("pref", F.expr("shiftright(ry, lv + 1)")).withColumn("bit", bit)
+    g = e.groupBy(*keys, "lv", "pref", "rx").agg(F.sum(F.col("bit") * F.col("c")).alias("one"), F.sum((1 - F.col("bit")) * F.col("c")).alias("zero"))
+    g = O.running_sums(g.withColumn(O.BUCKET, F.floor(F.col("rx") / 65536)), ["rx"], {"ones": F.col("one"), "zeros": F.col("zero")}, [*keys, "lv", "pref"])
+    # rows of equal x are no pair: only what lies strictly below counts
+    e = g.withColumn("con", F.col("one") * (F.col("zeros") - F.col("zero"))).withColumn("dis", F.col("zero") * (F.col("ones") - F.col("one")))
     s = e.groupBy(*keys).agg(F.sum("con").alias("con"), F.sum("dis").alias("dis"))
 
     def ties(col: str, name: str) -> DataFrame:
@@ -525,10 +524,9 @@ def kendall_tau(df: DataFrame, keys: list[str], x: str, y: str, bits: int = 31)
 
 def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """A33. Spearman rho with tie-averaged ranks."""
-    def ranks(col: str, name: str) -> Column:
-        w = Window.partitionBy(*keys)
-        return F.rank().over(w.orderBy(col)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, col)) - 1) / 2.0
-    d = df.withColumn("_rx", ranks(x, "_rx")).withColumn("_ry", ranks(y, "_ry"))
+    d = df
+    for c, n in ((x, "_rx"), (y, "_ry")):
+        d = d.join(O.value_ranks(df, c, keys).select(*keys, F.col("value").alias(c), F.col("rank").alias(n)), [*keys, c])
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 

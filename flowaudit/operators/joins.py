@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered as O
 from ..functions import scalars as S
 
 MATCH_WINDOW_S = 2.0         # Fixed value: largest time offset of a matched packet.
@@ -56,12 +57,10 @@ def nearest_in_time(a: DataFrame, b: DataFrame, keys: list[str], ts: str = "ts",
 
 def match_summary(m: DataFrame, by: list[str]) -> DataFrame:
     """A61. Matched share and quantiles of the offset of matched rows."""
-    x = F.when(F.col("matched"), F.col("dt"))
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    g = m.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("matched")).alias("n_matched"), q.alias("_q"))
-    return g.select(*by, "n", "n_matched", (F.col("n_matched") / F.col("n")).alias("share"),
-                    F.col("_q")[2].alias("offset_median"), (F.col("_q")[3] - F.col("_q")[1]).alias("offset_iqr"),
-                    F.col("_q")[0].alias("offset_p01"), F.col("_q")[4].alias("offset_p99"))
+    g = m.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("matched")).alias("n_matched"))
+    q = O.exact_percentiles(m.filter("matched"), "dt", {"offset_p01": 0.01, "_q1": 0.25, "offset_median": 0.5, "_q3": 0.75, "offset_p99": 0.99}, by)
+    return g.join(q, by, "left").select(*by, "n", "n_matched", (F.col("n_matched") / F.col("n")).alias("share"), "offset_median",
+                                        (F.col("_q3") - F.col("_q1")).alias("offset_iqr"), "offset_p01", "offset_p99")
 
 
 def match_sample(m: DataFrame, row_id: str, n: int = 200_000) -> DataFrame:
@@ -180,7 +179,6 @@ def non_dominated(df: DataFrame, axes: dict[str, int], keys: list[str] = (), bro
         return cand.mapInPandas(last, cand.schema).select(*cols)
 
     # more candidates: chunks by rank of the axis sum; a better row has a larger sum
-    from ..functions import ordered as O
     r = O.value_rank(cand.withColumn("_id", F.monotonically_increasing_id()), "_s", ["_id"], totals=False)
     r = checkpoint(r.withColumn("_ch", F.floor(F.col("rank") / chunk).cast("int")))
     top = r.agg(F.max("_ch")).first()[0]
@@ -205,9 +203,14 @@ def pareto_2d(df: DataFrame, x: str, y: str, keys: list[str], sx: int = 1, sy: i
     """J17 on two axes. Along falling x, a row is efficient if its y beats every y at larger x
     and equals the best y at its own x."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", F.col(x) * sx).withColumn("_y", F.col(y) * sy)
-    pts = d.groupBy(*keys, "_x").agg(F.max("_y").alias("_top"))
-    w = Window.partitionBy(*keys).orderBy(F.col("_x").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    pts = pts.withColumn("_better", F.max("_top").over(w))
+    # the best y at larger x: a running maximum inside buckets of x, and over the buckets before
+    pts = O.quantile_buckets(O.cached(d.groupBy(*keys, "_x").agg(F.max("_y").alias("_top"))), "_x")
+    past = (Window.unboundedPreceding, -1)
+    tops = pts.groupBy(*keys, O.BUCKET).agg(F.max("_top").alias("_bt"))
+    tops = tops.withColumn("_before", F.max("_bt").over(Window.partitionBy(*keys).orderBy(F.col(O.BUCKET).desc()).rowsBetween(*past))).drop("_bt")
+    inner = Window.partitionBy(*keys, O.BUCKET).orderBy(F.col("_x").desc()).rowsBetween(*past)
+    pts = pts.withColumn("_in", F.max("_top").over(inner)).join(tops, [*keys, O.BUCKET])
+    pts = pts.withColumn("_better", F.greatest("_in", "_before")).drop("_in", "_before", O.BUCKET)
     j = d.join(pts, [*keys, "_x"])
     eff = (F.col("_y") == F.col("_top")) & (F.col("_better").isNull() | (F.col("_y") > F.col("_better")))
     return j.withColumn("efficient", eff.cast("int")).drop("_x", "_y", "_top", "_better")
@@ -272,7 +275,6 @@ def nearest_neighbour(train: DataFrame, query: DataFrame, vec: str, train_id: st
                 parts.append((d.argmin(1), d.min(1)))
             yield b.assign(_cell=np.concatenate([p[0] for p in parts]), _d=np.concatenate([p[1] for p in parts]))
 
-    from ..functions import ordered as O
     t = train.select(F.col(train_id).alias("_tid"), F.col(vec).cast("array<double>").alias("_v"))
     t = t.mapInPandas(home, f"_tid {tid}, _v array<double>, _cell long, _d double")
     r = O.value_rank(t, "_d", ["_tid"], ["_cell"], name="_rk", totals=False)

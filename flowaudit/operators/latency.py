@@ -16,19 +16,13 @@ LOOP_TERMS = ["t_ind_ms", "t_q_ms", "t_feat_ms", "t_inf_ms", "t_act_ms"]
 LOOP_TERMS_ONE = ["t_ind_ms", "t_q_ms", "t_feat1_ms", "t_inf1_ms", "t_act_ms"]
 
 
-def value_histogram(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
-    """Distinct values with their running counts within the key (`cum`, `cum_all`)."""
-    v = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    return O.running_sums(O.quantile_buckets(O.cached(v), "value"), ["value"], {"cum": F.col("c")}, keys, totals=True).drop(O.BUCKET)
-
-
 def quantile_order_ci(df: DataFrame, col: str, qs: list[float], keys: list[str], conf: float = 0.95) -> DataFrame:
     """A45. Percentile (linear interpolation) with a binomial order-statistic interval.
 
     The group sizes give the ranks on the driver (one row per group, a result table); the
     order statistics are then read from the running counts of the values.
     """
-    h = value_histogram(df, col, keys)
+    h = O.value_counts(df, col, keys)
     sizes = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     spec = []
     for n in sorted({r["n"] for r in sizes.select("n").distinct().collect()}):
@@ -90,7 +84,7 @@ def transport_share(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def ecdf(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """A48. (rank - 0.5) / n. Equal values are one row with the range of their ranks."""
-    h = value_histogram(df, col, keys)
+    h = O.value_counts(df, col, keys)
     return h.select(*keys, "value", F.col("c").alias("n"),
                     ((F.col("cum") - F.col("c") + 0.5) / F.col("cum_all")).alias("ecdf_first"),
                     ((F.col("cum") - 0.5) / F.col("cum_all")).alias("ecdf_last"))

@@ -122,10 +122,9 @@ def gap_statistics(df: DataFrame, us: str) -> DataFrame:
     z = d.select(F.explode(F.array(F.struct(F.col("gap_s").alias("g"), F.lit(1).cast("long").alias("f")),
                                    F.struct(F.lit(0.0).alias("g"), (F.col("c") - 1).alias("f")))).alias("x"),
                  "t").select("t", "x.g", "x.f").filter(F.col("g").isNotNull() & (F.col("f") > 0))
-    r = z.agg(F.percentile("g", F.lit(0.5), F.col("f")).alias("median_gap_s"),
-              F.percentile("g", F.lit(0.95), F.col("f")).alias("p95_gap_s"),
-              F.percentile("g", F.lit(0.99), F.col("f")).alias("p99_gap_s"),
-              F.max("g").alias("max_gap_s"), F.sum("g").alias("_span"))
+    q = O.exact_percentiles(z, "g", {"median_gap_s": 0.5, "p95_gap_s": 0.95, "p99_gap_s": 0.99}, freq=F.col("f"))
+    top = z.agg(F.max("g").alias("max_gap_s"), F.sum("g").alias("_span"))
+    r = q.withColumn("max_gap_s", top.select("max_gap_s").scalar()).withColumn("_span", top.select("_span").scalar())
     return (r.withColumn("implied_hz", F.try_divide(F.lit(1.0), F.col("median_gap_s")))
             .withColumn("span_days", F.col("_span") / 86400.0).drop("_span"))
 
