@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licences, packing, pii, repeats, simhash, token_counts
+from . import decontamination, embedding_dedup, html_text, language, licences, packing, pii, repeats, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,14 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_windows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.main_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return text.withColumn("n_chars", F.length("text").cast("long"))
