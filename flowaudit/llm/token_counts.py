@@ -79,7 +79,7 @@ class Merges:
         known = self.words
         if len(known) > CACHED_WORDS:
             known.clear()
-        words = WORDS.findall(" " + text)
+        words = WORDS.findall(" " + text.replace(SPACE, " "))   # the vocabulary takes both for a space
         try:
             return sum(map(known.__getitem__, words))
         except KeyError:
