@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import id_type
+from .common import first_by_hash, id_type
 from .components import components
 from .simhash import _forest
 
@@ -42,7 +42,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> n
 def fit_cells(vectors: DataFrame, per_cell: int) -> dict[int, np.ndarray]:
     """Centroids for each length of vectors, from a bounded sample; as many as keep cells near `per_cell` rows a label."""
     n, labels = vectors.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).head()
-    sample = vectors.select("node", "v").orderBy("node").limit(SAMPLE_ROWS).select("v").collect()
+    sample = first_by_hash(vectors.select(F.xxhash64("node").alias("h"), "v"), "h", SAMPLE_ROWS).select("v").collect()
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r["v"]), []).append(r["v"])
