@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_batches
+from .common import first_by_hash, id_type, map_batches
 
 BUCKETS, DIM, ORDERS = 1 << 16, 24, (2, 3, 4, 5)
 #: Bound of the labelled sample that a model is fitted on: rows, chosen by the hash of their id.
@@ -158,8 +158,8 @@ def is_held_out(id_col: str) -> Column:
 def fit(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample: the `sample_rows` labelled rows of smallest hash that are not held out."""
     s = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("k"), is_held_out(id_col).alias("held"))
-    s = s.filter("NOT held AND t IS NOT NULL AND k IS NOT NULL AND t <> ''").select("i", F.xxhash64(F.col("i").cast("string"), F.lit(6)).alias("h"), "t", "k")
-    got = s.orderBy("h", "t", "k").limit(sample_rows).select("t", "k").collect()
+    s = s.filter("NOT held AND t IS NOT NULL AND k IS NOT NULL AND t <> ''").select(F.xxhash64(F.col("i").cast("string"), F.lit(6)).alias("h"), "t", "k")
+    got = first_by_hash(s, "h", sample_rows).select("t", "k").collect()
     return train([r["t"] for r in got], [r["k"] for r in got])
 
 
