@@ -105,11 +105,6 @@ def hash_normal(*parts) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
 
 
-def content_hash(cols) -> Column:
-    """64-bit content hash. A pre-filter only: equality is decided on the columns."""
-    return F.xxhash64(*[as_col(c) for c in cols])
-
-
 # ------------------------------------------------------- rates and PPV
 def recall(tp="tp", fn="fn") -> Column:
     return ratio(tp, as_col(tp) + as_col(fn))
@@ -176,13 +171,6 @@ def chance_macro_f1(prev) -> Column:
 
 
 # ------------------------------------------------------------ byte fields
-def be_uint(frame, pos, n: int) -> Column:
-    """Big-endian unsigned integer of n bytes at a 1-based position of a BINARY."""
-    return F.conv(F.hex(F.substring(frame, pos, n)), 16, 10).cast("bigint") \
-        if isinstance(pos, int) else \
-        F.conv(F.hex(F.substr(frame, pos, F.lit(n))), 16, 10).cast("bigint")
-
-
 def ipv4_text(c) -> Column:
     c = as_col(c)
     octets = [F.shiftright(c, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]

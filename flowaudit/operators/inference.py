@@ -490,7 +490,7 @@ def in_target_summary(runs: DataFrame, keys=("feature_set", "protocol", "model")
                                    F.max("balanced_accuracy").alias("ba_max"), F.avg("fpr").alias("fpr"))
 
 
-def kendall_tau(df: DataFrame, keys: list[str], x: str, y: str, bits: int = 31) -> DataFrame:
+def kendall_tau(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """A34. Tau-b without forming pairs.
 
     For every pair the bit at which the dense ranks of y first differ is unique. Grouping by
@@ -502,7 +502,7 @@ def kendall_tau(df: DataFrame, keys: list[str], x: str, y: str, bits: int = 31)
         d = d.join(O.value_ranks(d, c, keys).select(*keys, F.col("value").alias(c), F.col("dense").alias(n)), [*keys, c])
     d = O.cached(d.groupBy(*keys, "rx", "ry").agg(F.count(F.lit(1)).alias("c")))
     top = d.agg(F.max("ry")).first()[0] or 0
-    levels = F.sequence(F.lit(0), F.lit(max(0, min(bits, int(top).bit_length()) - 1)))
+    levels = F.sequence(F.lit(0), F.lit(max(0, int(top).bit_length() - 1)))
     e = d.withColumn("lv", F.explode(levels))
     bit = F.expr("cast(shiftright(ry, lv) & 1 as long)")
     e = e.withColumn("pref", F.expr("shiftright(ry, lv + 1)")).withColumn("bit", bit)

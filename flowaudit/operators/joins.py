@@ -63,7 +63,7 @@ def match_summary(m: DataFrame, by: list[str]) -> DataFrame:
                                         (F.col("_q3") - F.col("_q1")).alias("offset_iqr"), "offset_p01", "offset_p99")
 
 
-def match_sample(m: DataFrame, row_id: str, n: int = 200_000) -> DataFrame:
+def match_sample(m: DataFrame, row_id: str, n: int) -> DataFrame:
     """A61. At most n rows in hash order, for plots of the offsets."""
     from .splits import subsample
     return subsample(m, n, 0, row_id)

@@ -14,8 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordered as O
 from ..functions import scalars as S
-from . import space as SP
 
 TRIVIAL = ["majority", "stratified"]
 NOVELTY_QUANTILE = 0.99      # Fixed value: threshold quantile of the benign scores.
@@ -126,11 +126,15 @@ def fit_model(spec: ModelSpec, df: DataFrame, cols: list[str], seed: int = 11, r
     if spec.build is None:
         return Constant(spec.key, n1 / max(n1 + n0, 1), seed)
     if spec.balance == "sample":
-        # no weight column in this estimator: the smaller class is repeated to equal mass
+        # no weight column in this estimator: the smaller class is repeated to equal mass, and a
+        # row's own weight, relative to the mean, multiplies its repeats
         big, small, many = (n1, n0, 0) if n1 >= n0 else (n0, n1, 1)
-        times = big / max(small, 1)
-        rep = F.when(F.col(y) == many, F.floor(times + S.hash_unit(F.lit(f"os{seed}"), row_id)).cast("int")).otherwise(1)
-        d = df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.greatest(rep, F.lit(1))))).drop("_r").withColumn("weight", F.lit(1.0))
+        times = F.when(F.col(y) == many, F.lit(big / max(small, 1))).otherwise(1.0)
+        if extra_weight:
+            times = times * F.col(extra_weight) / float(df.agg(F.avg(extra_weight)).first()[0] or 1.0)
+        rep = F.floor(times + S.hash_unit(F.lit(f"os{seed}"), row_id)).cast("int")
+        d = df.withColumn("_n", rep if extra_weight else F.greatest(rep, F.lit(1))).filter("_n > 0") \
+            .withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_r", "_n").withColumn("weight", F.lit(1.0))
     else:
         d = balanced_weights(df, y, {"weights": "weights", "positive": "positive"}.get(spec.balance, "none"), extra_weight)
     d = d.withColumn("label", S.dbl(y))
@@ -266,7 +270,7 @@ def reconstruction_scores(benign: DataFrame, dfs: list[DataFrame], cols: list[st
 
 def novelty_threshold(scores: DataFrame, q: float = NOVELTY_QUANTILE, score: str = "score") -> float:
     """M19, M20. The quantile of the benign training scores."""
-    return float(scores.approxQuantile(score, [q], 0.0001)[0])
+    return float(O.exact_percentiles(scores.select(S.dbl(score).alias("_s")), "_s", {"q": q}).first()["q"])
 
 
 # ----------------------------------------------------------------- k-NN vote
@@ -278,12 +282,3 @@ def knn_scores(train: DataFrame, test: DataFrame, cols: list[str], row_id: str,
     nn = nearest_neighbour(tr, te, "_vec", "_nn", row_id, k=k)
     s = nn.join(tr.select("_nn", "_ny"), "_nn").groupBy(row_id).agg(F.avg("_ny").alias("score"))
     return test.join(s, row_id)
-
-
-def platt_inversion(runs: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """M29. AUC on calibration and test beside the Platt slope; a negative slope inverts."""
-    return runs.join(fits, keys).withColumn("inverted", (F.col("platt_slope") < 0).cast("int"))
-
-
-def shared_feature_columns(features: str = "shared") -> list[str]:
-    return SP.ROBUST_COLUMNS if features == "robust" else SP.SHARED_COLUMNS

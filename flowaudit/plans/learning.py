@@ -13,8 +13,9 @@ from ..operators import space as SP
 from . import bindings as X
 from . import experiments as E
 from . import telemetry as T
-from .registry import query, r6
+from .registry import SCORES, counts_sql, query, r6
 
+FINE = "[" + ", ".join(f"{t!r}e0" for t in C.TAU_FINE) + "]"
 COLS = SP.SHARED_COLUMNS
 KEEP = ["row_id", "y", "category", "grp"]
 LIGHT = [M.BY_KEY[k] for k in ("majority", "stratified", "logreg", "tree")]
@@ -195,7 +196,8 @@ def drift_run(spark, d):
     return r6(_counts_of(s, ["protocol", "direction", "rep", "model"]))
 
 
-@query("alert_burden_run")
+@query("alert_burden_run", f"""WITH {SCORES}, {counts_sql('model, split_seed, "file"', '(SELECT * FROM scores WHERE "domain" = \'target\') t', FINE)}
+SELECT model, split_seed, "file", tau, tp, fp, fn, tn FROM counts""")
 def alert_burden_run(spark, d):
     """Counts on the fine grid by capture file."""
     return E.alert_burden_run(X.scores(spark, d).filter("domain = 'target'"), ["model", "split_seed"], "file")

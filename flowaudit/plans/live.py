@@ -53,7 +53,8 @@ def _like_events(df: DataFrame) -> DataFrame:
                      cents.alias("cents"), F.pmod(F.col("event_id") * 977 + cents, F.lit(100000)).alias("counter"))
 
 
-@query("stream_rates")
+@query("stream_rates", f"""WITH {T.EV}, l AS (SELECT *, lag(counter) OVER w AS pc, (us - lag(us) OVER w) / 1e6 AS dt FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+SELECT user_id, event_id, round(CASE WHEN dt > 0 THEN greatest(counter - pc, 0) / dt END, 6) AS rate, coalesce((counter < pc)::INT, 0) AS clamped FROM l""")
 def stream_rates(spark, d):
     """Equal to the batch counter rates; a test compares the two."""
     return r6(run_available(ST.stream_rates(_like_events(_event_stream(spark, d))), "rates", rocks=True))

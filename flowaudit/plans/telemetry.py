@@ -275,25 +275,25 @@ def address_pair_packets(spark, d):
     return FL.mac_pairs(p, ["proto"])
 
 
-@query("shared_packet_keys", f"""WITH {EV}, a AS (SELECT DISTINCT user_id % 50 AS k, cents % 1000 AS l FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id % 50 AS k, cents % 1000 AS l FROM ev WHERE event_type = 'view')
+@query("shared_packet_keys", f"""WITH {EV}, a AS (SELECT DISTINCT user_id % 50 AS k, cents % 1000 AS l FROM ev WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id % 50 AS k, cents % 1000 AS l FROM ev WHERE event_id % 2 = 1)
 SELECT (SELECT count(*) FROM a) AS keys_a, (SELECT count(*) FROM b) AS keys_b, (SELECT count(*) FROM a JOIN b USING (k, l)) AS shared,
   round((SELECT count(*) FROM a JOIN b USING (k, l)) / (SELECT count(*) FROM a)::DOUBLE, 6) AS share_of_a, round((SELECT count(*) FROM a JOIN b USING (k, l)) / (SELECT count(*) FROM b)::DOUBLE, 6) AS share_of_b""")
 def shared_packet_keys(spark, d):
     """J9, U3."""
     e = X.events(spark, d).withColumn("k", F.pmod("user_id", F.lit(50))).withColumn("l", F.pmod("cents", F.lit(1000)))
-    s = J.shared_keys(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), ["k", "l"])
+    s = J.shared_keys(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["k", "l"])        # every event is on a side
     return r6(s)
 
 
-NEAR = f"""{EV}, a AS (SELECT event_id, user_id, us / 1e6 AS ts FROM ev WHERE event_type = 'click'), b AS (SELECT user_id, us / 1e6 AS ts FROM ev WHERE event_type = 'view'),
+NEAR = f"""{EV}, a AS (SELECT event_id, user_id, us / 1e6 AS ts FROM ev WHERE event_id % 2 = 0), b AS (SELECT user_id, us / 1e6 AS ts FROM ev WHERE event_id % 2 = 1),
 j AS (SELECT a.event_id, a.user_id, p.ts - a.ts AS back, n.ts - a.ts AS ahead FROM a ASOF LEFT JOIN b p ON a.user_id = p.user_id AND a.ts >= p.ts ASOF LEFT JOIN b n ON a.user_id = n.user_id AND a.ts <= n.ts),
 near AS (SELECT event_id, user_id, CASE WHEN ahead IS NULL OR abs(back) <= abs(ahead) THEN back ELSE ahead END AS dt FROM j)"""
 
 
 def _near(spark, d):
     e = X.events(spark, d).withColumn("ts", F.col("us") / 1e6)
-    a = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
-    return J.nearest_in_time(a, e.filter("event_type = 'view'").select("user_id", "ts"), ["user_id"], "ts", 3600.0, cell_s=86400.0)
+    a = e.filter("event_id % 2 = 0").select("event_id", "user_id", "ts")
+    return J.nearest_in_time(a, e.filter("event_id % 2 = 1").select("user_id", "ts"), ["user_id"], "ts", 3600.0, cell_s=86400.0)
 
 
 @query("nearest_in_time", f"WITH {NEAR} SELECT event_id, user_id, round(dt, 6) AS dt, coalesce(abs(dt) <= 3600e0, false)::INT AS matched FROM near")

@@ -29,7 +29,7 @@ def check_datalink(link: int, name: str) -> None:
         raise ValueError(f"{name}: unsupported datalink type {link}")
 
 
-def _records(fh, name: str) -> Iterator[tuple[float, int, bytes]]:
+def _records(fh, name: str) -> Iterator[tuple[float | None, int, bytes]]:
     """(time, link type, frame) of one capture, read forward once."""
     head = fh.read(4)
     if head == b"\x0a\x0d\x0d\x0a":
@@ -44,14 +44,15 @@ def _records(fh, name: str) -> Iterator[tuple[float, int, bytes]]:
     rec = struct.Struct(end + "IIII")
     while len(h := fh.read(16)) == 16:
         sec, sub, incl, _ = rec.unpack(h)
-        frame = fh.read(incl)
-        if len(frame) < incl:
-            return
+        frame = fh.read(incl)                                # a cut last record counts with what is there
         yield sec + sub / div, link, frame
 
 
-def _pcapng(fh, name: str) -> Iterator[tuple[float, int, bytes]]:
-    """Enhanced and simple packet blocks; each interface has its link type and time unit."""
+def _pcapng(fh, name: str) -> Iterator[tuple[float | None, int, bytes]]:
+    """Enhanced, simple and old packet blocks; each interface has its link type, time unit and snap length.
+
+    A simple block has no time: its packet has a null one and is skipped as untimed later.
+    """
     end, first, faces = "<", True, []
     while True:
         kind = b"\x0a\x0d\x0d\x0a" if first else fh.read(4)
@@ -78,10 +79,20 @@ def _pcapng(fh, name: str) -> Iterator[tuple[float, int, bytes]]:
                     break
                 pos += 4 + (n + 3) // 4 * 4
             check_datalink(link, name)
-            faces.append((link, unit))
-        elif kind_no == 6:
-            i, hi, lo, cap, _ = struct.unpack_from(end + "IIIII", body)
-            link, unit = faces[i]
+            faces.append((link, unit, struct.unpack_from(end + "I", body, 4)[0]))
+        elif kind_no in (2, 3, 6):
+            try:
+                if kind_no == 3:
+                    link, _, snap = faces[0]
+                    cap = struct.unpack_from(end + "I", body)[0]
+                    yield None, link, body[4:4 + (min(cap, snap) if snap else cap)]
+                    continue
+                layout = "IIIII" if kind_no == 6 else "HHIIII"
+                i, *rest = struct.unpack_from(end + layout, body)
+                hi, lo, cap, _ = rest[-4:]
+                link, unit, _ = faces[i]
+            except (struct.error, IndexError) as e:
+                raise ValueError(f"{name}: unreadable packet block of type {kind_no}") from e
             yield ((hi << 32) | lo) / unit, link, body[20:20 + cap]
 
 
@@ -93,13 +104,14 @@ class CaptureReader(DataSourceReader):
         if not found:
             raise FileNotFoundError(f"no captures under {path!r}")
         self.files = found
+        self.root = os.path.dirname(path) if os.path.isfile(path) else path
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.files]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path = partition.value
-        name = os.path.basename(path)
+        name = os.path.relpath(path, self.root)              # equal names in two folders stay apart
         opener = gzip.open if path.endswith(".gz") else open
         names = ["file", "seq", "ts", "datalink", "frame_len", "frame"]
         kinds = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
@@ -182,12 +194,13 @@ def decode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     ihl = np.where(four, (u8(ip) & 15) * 4, 40)
     cut = (four & ((cap < 20) | (ihl < 20) | (cap < ihl))) | (six & (cap < 40))
     skip = np.where(short, "link", np.where(~(four | six), "not_ip", np.where(cut, "truncated", "")))
+    skip = np.where((skip == "") & batch.column("ts").is_null().to_numpy(zero_copy_only=False), "untimed", skip)
     ok = skip == ""
     told = np.where(four, u16(ip + 2), 40 + u16(ip + 4))
     ip_len = np.where(told > 0, np.minimum(told, cap), cap)
     proto = np.where(four, u8(ip + 9), u8(ip + 6))
     l4, nxt = ip + ihl, proto.copy()
-    for _ in range(8):                                       # IPv6 extension headers
+    while True:                                              # IPv6 extension headers, each at least 8 bytes on
         ext = six & np.isin(nxt, IPV6_EXTENSIONS) & (l4 + 8 <= ip + cap)
         if not ext.any():
             break
@@ -231,7 +244,7 @@ def coverage(decoded: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
     """S11. Records, parsed records and skipped ones by reason."""
     s = F.col("skip")
     g = decoded.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.count_if(s.isNull()).alias("parsed"),
-                                   *[F.count_if(s == r).alias(f"skipped_{r}") for r in ("link", "not_ip", "truncated")])
+                                   *[F.count_if(s == r).alias(f"skipped_{r}") for r in ("link", "not_ip", "truncated", "untimed")])
     return g.withColumn("coverage", F.col("parsed") / F.col("records"))
 
 
@@ -240,8 +253,3 @@ def mac_columns(packets: DataFrame) -> DataFrame:
     def mac(pos: int):
         return F.when(F.col("datalink") == 1, F.lower(F.regexp_replace(F.hex(F.substring("frame", pos, 6)), "(..)(?!$)", "$1:")))
     return packets.withColumn("eth_dst", mac(1)).withColumn("eth_src", mac(7))
-
-
-def shared_packet_key_columns() -> list[str]:
-    """J9. The key by which one packet is known in two captures (time rounded to 6 places)."""
-    return ["ts6", "src", "dst", "ip_id", "ip_len"]

@@ -42,6 +42,14 @@ def test_scores_are_probabilities(table, key):
         assert C.rank_metrics(s.withColumn("k", F.lit(1)), ["k"]).first().roc_auc > 0.85
 
 
+def test_weights_change_the_network(table):
+    """Rows of large b count for nothing in one fit, so its scores differ from the plain one."""
+    spec = E.with_params(M.BY_KEY["mlp"], maxIter=15)
+    w = table.withColumn("w", (F.col("row_id") % 4 == 0).cast("double") * 4)
+    a, b = ({r.row_id: r.score for r in M.predict_scores(M.fit_model(spec, w, ["a", "b"], extra_weight=e), w).collect()} for e in (None, "w"))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) > 0.01
+
+
 def test_ladder_is_declared_in_full():
     assert [m.key for m in M.LADDER] == ["majority", "stratified", "logreg", "tree", "rf", "xgboost", "hgb", "mlp"]
     assert M.BY_KEY["rf"].build(2, 1).getNumTrees() == 200 and M.BY_KEY["xgboost"].build(2, 1).getMaxIter() == 300
