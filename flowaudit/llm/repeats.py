@@ -68,16 +68,17 @@ class Texts:
 
 
 def _pack(sorted_keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of as few bytes as the largest needs."""
-    d = np.diff(sorted_keys, prepend=np.uint64(0))
+    """The first of sorted keys, and the differences that follow in as few bytes as the largest needs."""
+    d = np.diff(sorted_keys)
     width = max(1, (int(d.max(initial=np.uint64(0))).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + sorted_keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :b[0]] = raw
+    raw = np.frombuffer(b, np.uint8, offset=9).reshape(-1, b[0])
+    full = np.zeros((len(raw) + 1, 8), np.uint8)
+    full[0] = np.frombuffer(b, np.uint8, count=8, offset=1)
+    full[1:, :b[0]] = raw
     return np.cumsum(full.view("<u8")[:, 0], dtype=np.uint64)
 
 
