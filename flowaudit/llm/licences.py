@@ -54,35 +54,40 @@ def family(licence: str) -> str:
     return re.split(r"-v?\d|-(?:only|or-later|clause)", s)[0]
 
 
-def evaluate(expression: str) -> frozenset[frozenset[str]]:
+def evaluate(expression: str, choices: bool = True) -> frozenset:
     """A licence expression as its choices, each the set of labels that hold together.
 
+    The choices can be as many as two to the power of the brackets, so `choices=False` gives
+    the labels of all choices at once instead.
+
     Shunting-yard: operands go to the output, and/or/with and brackets through a stack; `with`
     binds tightest and `or` least. `or` unites choices, `and` combines each with each, `with`
     keeps the licence and drops the exception's name. The longest well-formed beginning of the
     text counts, so words after the expression end it. Nothing well-formed: no choice.
     """
-    tokens = []
-    for t in PARTS.findall(expression)[:256]:                # a tag's expression, not the rest of a long line
-        word = t.lower()
+    tokens, depth = [], 0
+    for part in PARTS.finditer(expression):                  # stops at the first word that does not belong
+        t, word = part[0], part[0].lower()
         operand_next = not tokens or tokens[-1] in ("(", "or", "and", "with")
         if t in ")" or word in PRECEDENCE:
-            if operand_next or (t == ")" and tokens.count("(") <= tokens.count(")")):
+            if operand_next or (t == ")" and not depth):
                 break
             tokens.append(word)
+            depth -= t == ")"
         elif operand_next and (t == "(" or re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.+:-]*", t)):
-            tokens.append("(" if t == "(" else t)
+            tokens.append(t)
+            depth += t == "("
         else:
             break
     while tokens and (tokens[-1] in ("(", "or", "and", "with")):
-        tokens.pop()
-    tokens += [")"] * (tokens.count("(") - tokens.count(")"))
+        depth -= tokens.pop() == "("
+    tokens += [")"] * depth
     values: list[frozenset[frozenset[str]]] = []
     stack: list[str] = []
 
     def apply() -> None:
         op, b, a = stack.pop(), values.pop(), values.pop()
-        values.append(a | b if op == "or" else a if op == "with" else frozenset(x | y for x in a for y in b))
+        values.append(a if op == "with" else frozenset(x | y for x in a for y in b) if op == "and" and choices else a | b)
 
     for t in tokens:
         if t == "(":
@@ -96,7 +101,8 @@ def evaluate(expression: str) -> frozenset[frozenset[str]]:
                 apply()
             stack.append(t)
         else:
-            values.append(frozenset([frozenset([family(t)])]))
+            labels = frozenset([family(t)])
+            values.append(frozenset([labels]) if choices else labels)
     while stack:
         apply()
     return values[0] if values else frozenset()
@@ -107,11 +113,15 @@ def scan(text: str) -> dict:
     words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
     joined = b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass")
     starts, base, labels, doubt, tagged = [], set(), set(), 1.0, False
+    at = spaces = 0                                          # spaces before `at`, moved from place to place
     for end, phrase in automaton().iter(joined):
         if phrase == TAG:
             tagged = True
         if phrase in BASE:
-            starts.append(joined.count(" ", 0, end - len(phrase)) - 1)
+            to = end - len(phrase)
+            spaces += joined.count(" ", at, to) - joined.count(" ", to, at)
+            at = to
+            starts.append(spaces - 1)
             base.add(BASE[phrase])
             doubt *= 1 - BASE_WEIGHT
         if phrase in NOTICES:
@@ -120,9 +130,9 @@ def scan(text: str) -> dict:
             doubt *= 1 - weight
     if tagged:
         for m in TAG_TEXT.finditer(text):
-            choices = evaluate(m[1])
-            labels |= {x for c in choices for x in c}
-            doubt *= 1 - TAG_WEIGHT * bool(choices)
+            named = evaluate(m[1], choices=False)
+            labels |= named
+            doubt *= 1 - TAG_WEIGHT * bool(named)
     return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": 1 - doubt}
 
