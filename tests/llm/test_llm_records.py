@@ -80,6 +80,47 @@ def test_simhash_odd_rows(spark):
     assert got == [(5, 5), (5, 5), (None, 5), (None, None)]
 
 
+def plain_wide_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+    h = [int.from_bytes(xxhash.xxh3_128_digest(g, 1) + xxhash.xxh3_128_digest(g, 2), "big") for g in grams]
+    return sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_similar_sequences_are_found(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(30):
+        base = flows(rng, 200)
+        for j in range(40 if k == 0 else 5):
+            w = list(base)
+            if j:
+                w[int(rng.integers(0, 195))] = f"changed{j}"
+            texts.append(" ".join(w))
+    texts += [None, "", "tcp http", "TCP  http", texts[3], "x " * 30000, "Ä ä Ä"]
+    df = spark.createDataFrame([(i, t, "tcp", i) for i, t in enumerate(texts)], "row_id long, sequence string, fp string, label int")
+    got = {i: r.component_id for i, r in by_id(simhash.similar_sequences(df), "row_id").items()}
+    fp = [plain_wide_fingerprint(t) for t in texts]
+    assert simhash.bits_at(0.8) == 44
+    root = union_find(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 44])
+    first = {}
+    for i, r in enumerate(root):
+        first.setdefault(r, i)
+    assert got == {i: first[root[i]] for i in range(len(fp))}
+    bases = [0, *range(40, 185, 5)]
+    assert all(got[i] == max(b for b in bases if b <= i) for i in range(185))      # one word of 200 changed
+    assert [got[i] for i in range(185, 192)] == [185, 185, 187, 187, 0, 190, 191]
+
+
+def test_similar_odd_rows(spark):
+    schema = "row_id long, sequence string"
+    assert simhash.similar_sequences(spark.createDataFrame([], schema)).count() == 0
+    df = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (None, "only null ids here")], schema)
+    got = sorted(((r.row_id, r.component_id) for r in simhash.similar_sequences(df).collect()), key=str)
+    assert got == [(5, 5), (5, 5), (None, 5), (None, None)]
+
+
 def test_large_buckets_are_connected():
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 2**63))
@@ -161,11 +202,15 @@ def test_substituted_test_sequences_are_found(spark):
 
 def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    t = spark.createDataFrame([(0, " ".join(flows(rng, 40)))], "test_id long, sequence string")
-    r = t.select(t.test_id.alias("row_id"), "sequence")
-    want = decontamination.test_overlaps(r, t).collect()
+    tests = [flows(rng, 40) for _ in range(3)]
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(tests)], "test_id long, sequence string")
+    rows = [(i, " ".join(flows(rng, i) + tests[i % 3][i % 7:] + flows(rng, 20) + tests[0][:12])) for i in range(20)]
+    rows += [rows[3], (30, rows[3][1]), (None, rows[4][1]), (31, None), (32, " ".join(flows(rng, 50)))]
+    r = spark.createDataFrame(rows, "row_id long, sequence string")
+    found = lambda: sorted(map(tuple, decontamination.test_overlaps(r, t).collect()), key=str)
+    want = found()
     monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", -1)
-    assert decontamination.test_overlaps(r, t).collect() == want and want[0].score == 40
+    assert found() == want and (0, 0, 40) in want and {x[0] for x in want} == {*range(20), 30, None}
 
 
 # ------------------------------------------------------------------ 1

@@ -117,6 +117,9 @@ def test_expressions():
     assert e("MIT OR Apache-2.0 AND BSD-3-Clause") == f([f(["mit"]), f(["apache", "bsd"])])
     assert e("(MIT OR Apache-2.0) AND GPL-2.0+ WITH x") == f([f(["mit", "gpl"]), f(["apache", "gpl"])])
     assert e("((MIT") == f([f(["mit"])]) == e("MIT */") == e("MIT)") == e("MIT and")
+    assert e("MIT OR (Apache-2.0 AND GPL-2.0 WITH x)", choices=False) == f(["mit", "apache", "gpl"]) and e("or", choices=False) == f()
+    long = " AND ".join(f"(L{k} OR MIT)" for k in range(300))
+    assert len(e(long, choices=False)) == 301
     assert e("") == e("AND MIT") == e(")") == e("()") == f()
 
 
@@ -135,6 +138,11 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_blocks_end_paragraphs():
+    kept = [t for t, kind in html_text.blocks("<article><p class=ad>buy<p>one<p class=ad>buy<div>two</div><ul><li class=ad>buy<li>three</ul></article>")[0] if kind == html_text.KEEP]
+    assert kept == ["one", "two", "three"]
+
+
 def test_shared_lines_equal_the_table_method():
     rng = np.random.default_rng(6)
     for _ in range(200):
@@ -229,14 +237,14 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, data):
     from tokenizers import Tokenizer
 
     import corpus_pipeline
-    from tests.llm.test_llm_records import plain_fingerprint, union_find
+    from tests.llm.test_llm_records import plain_wide_fingerprint, union_find
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "benchmark", "personal_data", "packing"]
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     model = language.fit(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text", "lang")
     docs = {i: t for i, t in docs.items() if not model.predict(t)[2]}
     ids = sorted(docs)
-    fp = [plain_fingerprint(docs[i]) for i in ids]
-    root = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 2])
+    fp = [plain_wide_fingerprint(docs[i]) for i in ids]
+    root = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 44])
     first = {}
     for k, r in enumerate(root):
         first.setdefault(r, ids[k])
