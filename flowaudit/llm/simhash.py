@@ -238,8 +238,8 @@ def wide_links(prints: DataFrame, radius: int) -> DataFrame:
         .agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(b"".join(x), np.uint64).reshape(-1, WIDE_BITS // 64) for x in batch.column(0).to_pylist()]
+        for batch, at in ((batch, at) for batch in batches for at in range(0, len(batch), 256)):
+            lists = [np.frombuffer(b"".join(x), np.uint64).reshape(-1, WIDE_BITS // 64) for x in batch.column(0).slice(at, 256).to_pylist()]
             a, b = _bucket_links(lists, radius, wide=True)
             yield pa.RecordBatch.from_pydict({"a": [x.tobytes() for x in a], "b": [x.tobytes() for x in b]},
                                              schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
