@@ -50,7 +50,7 @@ def quantile_buckets(df: DataFrame, col: str, n: int | None = None,
     cuts = {float(x) for x in found}
     hot = sorted(x for x in cuts if found.count(x) > 1)
     splits = sorted(cuts | {math.nextafter(x, math.inf) for x in hot})
-    splits = [-math.inf] + [x for x in splits if math.isfinite(x)] + [math.inf]
+    splits = [-math.inf] + ([x for x in splits if math.isfinite(x)] or [0.0]) + [math.inf]
     b = Bucketizer(splits=splits, inputCol="_qin", outputCol="_qout", handleInvalid="keep")
     out = b.transform(df.withColumn("_qin", F.col(col).cast("double")))
     bucket = F.col("_qout").cast("long") * 4096
@@ -190,6 +190,30 @@ def exact_percentiles(df: DataFrame, col: str, qs: dict[str, float], keys: list[
     return h.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
+def quantile_grid(df: DataFrame, col: str, n: int, keys: list[str] = ()) -> DataFrame:
+    """(keys, i, q): n evenly spaced percentiles with linear interpolation, i from 0.
+
+    A value that fills the ranks before..cum - 1 finds by arithmetic which steps need it, so
+    the only rows after the running counts are two for each step.
+    """
+    keys, steps = list(keys), n - 1
+    h = value_counts(df, col, keys).withColumn("_last", F.col("cum_all") - 1).withColumn("_from", F.col("cum") - F.col("c"))
+
+    def reached(rank: str) -> str:                          # the first step whose position is at that rank or later
+        return f"if(_last = 0, 0, ({rank}) * {steps} div _last + if(({rank}) * {steps} % _last > 0, 1, 0))"
+
+    def steps_of(first: str, after: str) -> Column:
+        first, end = reached(first), f"if(cum = cum_all, {steps}, {reached(after)} - 1)"
+        return F.expr(f"if({first} <= {end}, sequence(cast({first} AS bigint), cast({end} AS bigint)), null)")
+
+    ends = F.array(F.struct(F.lit("lo").alias("end"), steps_of("_from", "cum").alias("at")),
+                   F.struct(F.lit("hi").alias("end"), steps_of("greatest(_from - 1, 0)", "cum - 1").alias("at")))
+    d = h.select(*keys, "value", "_last", F.explode(ends).alias("e")).select(*keys, "value", "_last", "e.end", F.explode("e.at").alias("i"))
+    q = d.groupBy(*keys, "i", "_last").agg(*[F.max(F.when(F.col("end") == e, F.col("value"))).alias(f"_{e}") for e in ("lo", "hi")])
+    share = (F.col("i") * F.col("_last") % steps) / F.lit(float(steps))
+    return q.select(*keys, "i", (F.col("_lo") + share * (F.col("_hi") - F.col("_lo"))).alias("q"))
+
+
 def value_ranks(df: DataFrame, col: str, keys: list[str] = ()) -> DataFrame:
     """(keys, value, rank, dense): tie-averaged and dense rank of every distinct value."""
     keys = list(keys)

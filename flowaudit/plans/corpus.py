@@ -590,7 +590,7 @@ def domain_auc(spark, d):
 
 @query("quantile_map", None)
 def quantile_map(spark, d):
-    """A37 and A36 on mapped values; approximate quantiles, so rows only."""
+    """A37 and A36 on mapped values."""
     z, a = _two(spark, d)
     grid = SH.quantile_map(z, _SC)
     qa, qb = SH.apply_quantile_map(z.select(*_SC), grid), SH.apply_quantile_map(a.select(*_SC), grid)

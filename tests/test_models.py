@@ -141,12 +141,23 @@ def test_quantile_map_matches_interpolation(spark):
     rnd = random.Random(2)
     x = sorted(rnd.gauss(0, 1) for _ in range(300))
     d = spark.createDataFrame([(v,) for v in x], "x double")
-    g = SH.quantile_map(d, ["x"], 101, exact=True)
+    g = SH.quantile_map(d, ["x"], 101)
     got = sorted(r.x for r in SH.apply_quantile_map(d, g).collect())
     want = np.interp(x, np.percentile(x, np.linspace(0, 100, 101)), np.linspace(0, 1, 101))
     assert got == pytest.approx(want.tolist(), abs=1e-9)
 
 
+@pytest.mark.parametrize("values", [[3.0], [1.0, 1.0, 2.0], [float(i % 7) for i in range(50)], [float(i * i) for i in range(1234)]])
+def test_quantile_grid_is_exact(spark, values):
+    d = spark.createDataFrame([(v, -v) for v in values] + [(None, float("nan"))], "x double, y double")
+    for n in (2, 5, 1000):
+        g = SH.quantile_map(d, ["x", "y"], n)
+        for c, sign in (("x", 1), ("y", -1)):
+            assert g[c] == pytest.approx(np.percentile([sign * v for v in values], np.linspace(0, 100, n)).tolist(), abs=1e-9)
+    with pytest.raises(ValueError):
+        SH.quantile_map(d.filter("x IS NULL"), ["x"])
+
+
 def test_coral_gives_the_source_the_target_covariance(spark):
     rng = np.random.default_rng(0)
     s = rng.normal(size=(3000, 2)) @ np.array([[1, 0.9], [0, 0.3]])

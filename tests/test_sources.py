@@ -84,6 +84,10 @@ def test_checksums_and_formats(spark, tmp_path):
     f.write_bytes(b"abc")
     got = {r.path: r for r in SK.checksum_files(spark, [str(f), str(tmp_path / "gone")]).collect()}
     assert got[str(f)].sha256 == hashlib.sha256(b"abc").hexdigest() and got[str(f)].bytes == 3 and got[str(tmp_path / "gone")].status == "MISSING"
+    g = tmp_path / "y.gz"
+    g.write_bytes(b"not unpacked" * 1000)
+    r = SK.checksum_files(spark, [g.as_uri()], chunk=7).first()
+    assert r.bytes == 12000 and r.sha256 == hashlib.sha256(b"not unpacked" * 1000).hexdigest() and r.status == "present"
     d = spark.createDataFrame([(1, "a")], "k int, v string")
     for fmt, comp in (("csv", "gzip"), ("json", None), ("parquet", "snappy")):
         SK.write_table(d, str(tmp_path / fmt), fmt, compression=comp)
