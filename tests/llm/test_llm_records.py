@@ -121,6 +121,37 @@ def test_similar_odd_rows(spark):
     assert got == [(5, 5), (5, 5), (None, 5), (None, None)]
 
 
+def plain_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_sequences_have_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_ROWS", 16)
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(12):                                     # chains of growing distance on both sides of 0.8
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        for j in range(12):
+            w = list(base)
+            for x in rng.choice(300, j, replace=False):
+                w[x] = f"new{k}.{j}.{x}"
+            texts.append(" ".join(w))
+    for _ in range(2):                                      # only repeated lines are shared: similarity 0.02
+        own = [f"u{x}" for x in rng.integers(0, 10**6, 204)]
+        texts.append(" ".join(own + [f"line{x % 10}" for x in range(300)]))
+    sets = [plain_shingles(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])      # noqa: E731
+    root = union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)])
+    first = {}
+    for i, r in enumerate(root):
+        first.setdefault(r, i)
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, sequence string")
+    got = {i: r.component_id for i, r in by_id(simhash.similar_sequences(df), "row_id").items()}
+    assert got == {i: first[root[i]] for i in range(len(texts))}
+    assert len(set(got.values())) > 30
+
+
 def test_large_buckets_are_connected():
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 2**63))
