@@ -231,6 +231,48 @@ def test_substituted_test_sequences_are_found(spark):
         assert decontamination.test_overlaps(empty if empty.columns == r.columns else r, t if empty.columns == r.columns else empty).count() == 0
 
 
+def test_dense_substitutions_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: f"v{rng.integers(10**6)}"                # noqa: E731
+    lengths = [4, 9, *range(10, 61, 5)]
+    tests = [[word() for _ in range(n)] for n in lengths]
+    rows, dense = [], set()
+    for k, t in enumerate(tests):
+        for every in (4, 5, 6):
+            for at in range(every):
+                w = [word() if i % every == at else x for i, x in enumerate(t)]
+                dense |= {(len(rows), k)} if len(t) >= 10 else set()
+                rows.append([word() for _ in range(20)] + w + [word() for _ in range(20)])
+        for share in (0.0, 0.1, 0.2, 0.25, 0.4):
+            out = set(rng.choice(len(t), int(share * len(t)), replace=False).tolist())
+            dense |= {(len(rows), k)} if not share else set()
+            rows.append([word() for _ in range(20)] + [word() if i in out else x for i, x in enumerate(t)] + [word()])
+
+    def best(t, w):
+        top = equal = unequal = 0
+        for shift in range(-len(t), len(w)):
+            run, e, u = 0, 0, 0
+            for q, x in enumerate(t):
+                hit = 0 <= q + shift < len(w) and w[q + shift] == x
+                run, e, u = (run + 1, e + 1, u) if hit else (run - 1, e, u + 1)
+                if run <= 0:
+                    run, e, u = 0, 0, 0
+                elif run > top:
+                    top, equal, unequal = run, e, u
+        return top, equal, unequal
+
+    score = {(i, k): best(t, w) for i, w in enumerate(rows) for k, t in enumerate(tests) if set(t) & set(w)}
+    need = [n if n < 10 else min(10, (n + 1) // 2) for n in lengths]
+    want = {p for p, (s, _, _) in score.items() if s >= need[p[1]]}
+    sure = {p for p in want if score[p][1] >= 2 * score[p][2] + 3}         # three quarters equal and more
+    r = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "row_id long, sequence string")
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(tests)], "test_id long, sequence string")
+    got = {(x.row_id, x.test_id): x.score for x in decontamination.test_overlaps(r, t).collect()}
+    assert sure <= set(got) <= want and all(got[p] == score[p][0] for p in got)
+    five = {(i, k) for i, k in dense if len(tests[k]) >= 20 or score[i, k][0] >= need[k]}
+    assert five <= set(got) and len(five) > 100
+
+
 def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     tests = [flows(rng, 40) for _ in range(3)]
