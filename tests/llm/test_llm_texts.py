@@ -285,6 +285,15 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, data):
     fits([(r.doc_id, r.piece, r.start, r.length, r.sequence_id, r.offset) for r in rows], {i: len(v) for i, v in want.items()}, 2048)
 
 
+def test_equal_ids_do_not_remove_texts(spark):
+    import corpus_pipeline
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(7, one), (7, two), (7, one), (9, one), (8, two + " more"), (None, one), (10, "short")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.deduplicated(spark, df, "").collect()), key=str)
+    assert got == sorted([(7, one), (7, two), (None, one), (10, "short")], key=str)
+
+
 def test_queries_have_their_columns(spark, data):
     want = {"op2": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op4": "page_id url text n_chars", "op8": "doc_id n_words n_removed kept_sha256"}
     for name, f in queries.QUERIES.items():
