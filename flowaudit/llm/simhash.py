@@ -327,9 +327,19 @@ def similar_sequences(rows: DataFrame, id_col: str = "row_id", seq_col: str = "s
         return (t or "").encode("utf-8", "surrogatepass").lower().split()
 
     def prints(i, s, m):
-        grams = [shingles(words(t)) for t in s]
-        return {"i": i, "m": m, "key": [xxhash.xxh3_128_digest(shingle_hashes(g).tobytes()) for g in grams],
-                "fp": [wide_fingerprint(g) for g in grams], "size": [len(g) for g in grams]}
+        key, fp, size = [], [], []
+        for t in s:                                         # the shingles of one text at a time
+            grams = shingles(words(t))
+            key.append(xxhash.xxh3_128_digest(shingle_hashes(grams).tobytes()))
+            fp.append(wide_fingerprint(grams))
+            size.append(len(grams))
+        return {"i": i, "m": m, "key": key, "fp": fp, "size": size}
+
+    def few(fn: Callable[..., dict[str, list]], types: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256)):
+                yield pa.RecordBatch.from_pydict(fn(*[c.to_pylist() for c in b.columns]), schema=types)
+        return run
 
     def hashed(s, key, label, blocks):
         return {"key": key, "label": label, "blocks": blocks, "hashes": [shingle_hashes(shingles(words(t))).tobytes() for t in s]}
@@ -341,8 +351,8 @@ def similar_sequences(rows: DataFrame, id_col: str = "row_id", seq_col: str = "s
 
     d = rows.select(F.col(id_col).cast(sql).alias("i"), F.col(seq_col).cast("string").alias("s"))
     d = d.withColumn("m", F.unhex(F.md5(F.coalesce("s", F.lit("")))))
-    p = checkpoint(map_batches(d, prints, f"i {sql}, m binary, key binary, fp binary, size bigint",
-                               pa.schema([("i", arrow), ("m", pa.binary()), ("key", pa.binary()), ("fp", pa.binary()), ("size", pa.int64())])))
+    types = pa.schema([("i", arrow), ("m", pa.binary()), ("key", pa.binary()), ("fp", pa.binary()), ("size", pa.int64())])
+    p = checkpoint(d.mapInArrow(few(prints, types), f"i {sql}, m binary, key binary, fp binary, size bigint"))
     kinds = checkpoint(p.groupBy("key").agg(F.min("i").alias("first"), F.min("m").alias("m"), F.min("fp").alias("fp"), F.min("size").alias("size")))
     near = components(wide_links(kinds.select("fp").distinct(), bits_at(similarity, DEVIATIONS)))
     near = checkpoint(kinds.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("key", "m", "size", F.coalesce("label", "fp").alias("label")))
@@ -352,8 +362,8 @@ def similar_sequences(rows: DataFrame, id_col: str = "row_id", seq_col: str = "s
     sieve = near.select(F.pmod(F.xxhash64("m"), F.lit(SIEVE)).alias("slot")).distinct()      # SIEVE rows at most
     texts = d.select("s", "m", F.pmod(F.xxhash64("m"), F.lit(SIEVE)).alias("slot")).join(F.broadcast(sieve), "slot", "left_semi")
     texts = texts.select("s", "m").dropDuplicates(["m"]).join(near, "m").select("s", "key", "label", "blocks")
-    sets = map_batches(texts, hashed, "key binary, label binary, blocks int, hashes binary",
-                       pa.schema([("key", pa.binary()), ("label", pa.binary()), ("blocks", pa.int32()), ("hashes", pa.binary())]))
+    types = pa.schema([("key", pa.binary()), ("label", pa.binary()), ("blocks", pa.int32()), ("hashes", pa.binary())])
+    sets = texts.mapInArrow(few(hashed, types), "key binary, label binary, blocks int, hashes binary")
     sets = sets.withColumn("s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("key", "hashes", "s", "label", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"))
     links = sets.groupBy("label", "lo", "hi").applyInArrow(compared, "a binary, b binary")
