@@ -143,6 +143,17 @@ def test_blocks_end_paragraphs():
     assert kept == ["one", "two", "three"]
 
 
+def test_marks_are_whole_classes():
+    kept = lambda html: [t for t, kind in html_text.blocks(html)[0] if kind == html_text.KEEP]      # noqa: E731
+    loose = lambda html: [t for t, kind in html_text.blocks(html)[0] if kind == html_text.LOOSE]      # noqa: E731
+    assert kept("<div class='layout with-sidebar'><article><p>one<p class='notice'>two</article></div>") == ["one", "two"]
+    assert loose("<body class='x'><div class='has-cookie-banner'><p>one</div><nav>no</nav>") == ["one"]
+    assert kept("<div class='page sidebar'><nav>no</nav><article><p>one<div class='ad'>no</div></article></div>") == ["one"]
+    assert kept("<article>one<aside><article>no</article></aside></article><div class=sidebar><article>no</article></div>") == ["one"]
+    assert loose("<form id=f><nav>no</nav><p>one<p>two</form>") == ["one", "two"] and loose("<p>one<form>no</form>") == ["one"]
+    assert kept("<form id=f><main><p>one</main><p>no</form>") == ["one"]
+
+
 def test_shared_lines_equal_the_table_method():
     rng = np.random.default_rng(6)
     for _ in range(200):
