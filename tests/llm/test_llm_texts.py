@@ -143,6 +143,23 @@ def test_blocks_end_paragraphs():
     assert kept == ["one", "two", "three"]
 
 
+def test_neighbours_are_the_nearest_of_a_large_host(spark):
+    pages = []
+    for k in range(120):                                    # two pages a section share its line, and no other page has it
+        for j in "ab":
+            pages.append((len(pages), f"http://h.org/s{k:03}/{j}", f"<p>Section {k}</p><p>Own {k}{j}</p>"))
+    pages += [(1000 + k, "http://q.org/index.php?id=%03d" % k, f"<p>Query {k // 2}</p><p>Own {k}</p>") for k in range(160)]
+    df = spark.createDataFrame(pages, "row_id long, url string, html string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # several ranges
+    try:
+        got = {r.row_id: r.text for r in html_text.main_text(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert all(got[2 * k + x] == f"Own {k}{j}" for k in range(120) for x, j in enumerate("ab"))
+    order = sorted(pages[240:], key=lambda p: p[1])         # of equal paths the page before is the neighbour
+    assert [got[i] for i, _, _ in order] == [f"Own {k}" if k % 2 or not k else f"Query {k // 2}\n\nOwn {k}" for k in range(160)]
+
+
 def test_marks_are_whole_classes():
     kept = lambda html: [t for t, kind in html_text.blocks(html)[0] if kind == html_text.KEEP]      # noqa: E731
     loose = lambda html: [t for t, kind in html_text.blocks(html)[0] if kind == html_text.LOOSE]      # noqa: E731
