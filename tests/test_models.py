@@ -175,6 +175,14 @@ def test_coral_gives_the_source_the_target_covariance(spark):
     assert np.allclose(np.cov(got.T), np.cov(want.T), atol=1e-6) and np.allclose(np.std(np.array([tuple(r) for r in ct.collect()]), axis=0), 1, atol=1e-6)
 
 
+def test_importance_weights_read_the_whole_target(spark):
+    s = spark.createDataFrame([(i, i / 10) for i in range(60)], "row_id long, x double")
+    t = [(i, 1 + (i * i % 60) / 9) for i in range(60)]
+    once, tenfold = (spark.createDataFrame([(60 * k + i, x) for k in range(n) for i, x in t], "row_id long, x double") for n in (1, 10))
+    a, b = ({r.row_id: r.weight for r in SH.importance_weights(s, d, ["x"], "row_id", 1)[0].collect()} for d in (once, tenfold))
+    assert all(abs(a[i] - b[i]) < 1e-3 for i in a)
+
+
 def test_importance_weights_follow_the_shift(spark):
     r = random.Random(7)
     s = spark.createDataFrame([(i, r.gauss(0, 1)) for i in range(1500)], "row_id int, x double")
