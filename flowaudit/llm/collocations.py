@@ -31,7 +31,7 @@ class Sizes(NamedTuple):
     pack: int = 1 << 21
     tile: int = 1024
     part: int = 1 << 22
-    waiting: int = 1 << 22
+    waiting: int = 1 << 20
 
 
 def _squeezed(a: np.ndarray) -> bytes:
@@ -41,9 +41,10 @@ def _squeezed(a: np.ndarray) -> bytes:
     return kind.encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _spread(b: bytes) -> np.ndarray:
+def _spread(b: bytes | pa.Buffer) -> np.ndarray:
+    b = memoryview(b)
     size = int.from_bytes(b[3:11], "little")
-    return np.frombuffer(pa.decompress(b[11:], size, "zstd", asbytes=True), b[:3].decode()).astype(np.int64)
+    return np.frombuffer(pa.decompress(pa.py_buffer(b[11:]), size, "zstd"), bytes(b[:3]).decode()).astype(np.int64)
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +149,12 @@ _SENT_ARROW = pa.schema([("grp", pa.string()), ("part", pa.int32()), ("salt", pa
                          ("codes", pa.binary()), ("more", pa.binary())])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time, binary columns as views of the batch."""
+    for i in range(batch.num_rows):
+        yield {n: v.as_buffer() if pa.types.is_binary(v.type) and v.is_valid else v.as_py() for n, v in zip(batch.schema.names, (c[i] for c in batch.columns))}
+
+
 def _gaps(sorted_codes: np.ndarray) -> bytes:
     return np.diff(sorted_codes, prepend=np.int64(0)).astype("<i8").tobytes()
 
@@ -160,7 +167,7 @@ def _sender(ahead: int, side: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     """Each pack sends its distinct codes to the parts that own them; tasks share the dense tiles."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 base = _spread(r["base"])
                 last = base if ahead == 1 else _spread(r["last"])
                 out = [(r["grp"], p, r["pack"] % SALTS if p < DENSE * DENSE else 0, r["pack"], 1, _gaps(c), n.astype("<i8").tobytes())
@@ -170,8 +177,8 @@ def _sender(ahead: int, side: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return send
 
 
-def _tally(by: tuple[str, ...], least: int, dense_least: int, sizes: Sizes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sum what stands together in sorted rows, in bounded memory; only counts from `least` on come out."""
+def _tally(by: tuple[str, ...], least: int, dense_least: int, sizes: Sizes, numbered: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sum what stands together in sorted rows, in bounded memory; only counts from `least` on come out, as rows if `numbered`."""
     side = sizes.tile
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,17 +195,21 @@ def _tally(by: tuple[str, ...], least: int, dense_least: int, sizes: Sizes) -> C
             else:
                 c, n = _summed(np.concatenate(codes), np.concatenate(counts))
             keep = n >= (least if cells is None else dense_least)
-            if keep.any():
+            if numbered:
+                m = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * m, pa.string()), pa.array(np.full(m, part), pa.int32()), pa.array(c[keep]), pa.array(n[keep])],
+                                                 names=["grp", "part", "code", "f"])
+            elif keep.any():
                 row = (key[0], part, 0, 0, 1, _gaps(c[keep]), n[keep].astype("<i8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _SENT_ARROW.types)], schema=_SENT_ARROW)
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 if (k := tuple(r[c] for c in by)) != key:
                     yield from done()
                     key, codes, counts, size = k, [], [], 0
                     cells = np.zeros(side * side, np.int64) if r["part"] < DENSE * DENSE else None
-                c, n = _codes(r["codes"]), np.frombuffer(r["more"], "<i8")
+                c, n = _codes(r["codes"]), np.frombuffer(r["more"], "<i8").copy()
                 if cells is not None:
                     cells[(c >> WORD_BITS) % side * side + (c & ((1 << WORD_BITS) - 1)) % side] += n
                     continue
@@ -217,11 +228,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("to", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary())])
     key, known, ids = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             if (k := (r["grp"], r["part"], r["salt"])) != key:
                 key, known, ids = k, np.zeros(0, np.int64), np.zeros(0, np.int64)
             if r["kind"] == 0:
-                known, ids = _codes(r["codes"]), np.frombuffer(r["more"], "<i8")
+                known, ids = _codes(r["codes"]), np.frombuffer(r["more"], "<i8").copy()
                 continue
             c = _codes(r["codes"])
             if not len(known):
@@ -267,15 +278,6 @@ def _rank_phrases(ahead: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return rank
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per frequent code."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            c, n = _codes(r["codes"]), np.frombuffer(r["more"], "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([r["grp"]] * len(c), pa.string()), pa.array(np.full(len(c), r["part"]), pa.int32()), pa.array(c), pa.array(n)],
-                                             names=["grp", "part", "code", "f"])
-
-
 def _together(part: pa.Table) -> pa.Table:
     """The ranked codes of a part as one row for each task that asks it."""
     order = np.argsort(part["code"].to_numpy())
@@ -307,8 +309,9 @@ def frequent_phrases(rows: DataFrame, seq_col: str = "sequence", group_col: str
         sent = packed.mapInArrow(_sender(m - 1, sizes.tile), _SENT)
         dealt = ["grp", "part", "salt"]
         some = sent.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_tally(("grp", "part", "salt"), min_count, 1, sizes), _SENT)
-        found = some.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_tally(("grp", "part"), min_count, min_count, sizes), _SENT)
-        found = checkpoint(ranked(found.mapInArrow(_numbered, "grp string, part int, code bigint, f bigint"), "code"))
+        found = some.repartition("grp", "part").sortWithinPartitions("grp", "part") \
+            .mapInArrow(_tally(("grp", "part"), min_count, min_count, sizes, True), "grp string, part int, code bigint, f bigint")
+        found = checkpoint(ranked(found, "code"))
         left, right = F.shiftright("code", WORD_BITS), F.col("code").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
         named = found.select("grp", "f", "id", left.alias("left"), right.alias("right")) \
             .join(before.select("grp", F.col("id").alias("left"), "phrase"), ["grp", "left"]).join(names, ["grp", "right"])
