@@ -5,7 +5,9 @@ lost task and a SQL engine agree. Group splits work on a summary with one row pe
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +94,9 @@ def balanced_group_split(groups: DataFrame, seeds: list[int], test_frac: float =
                          min_test_groups: int = 2, look_ahead: int = 8) -> DataFrame:
     """D3, balanced form: of the next 8 unused groups, take the one that keeps the test
     prevalence nearest to the overall one, until the test side is large enough.
+
+    The picks of a seed follow each other in one task, over the groups that running sums show
+    to be near enough to the front; the others train.
     """
     n, n1 = groups.agg(F.sum("n"), F.sum("n1")).first()
     target, overall = int(n * test_frac), n1 / n
@@ -131,9 +136,14 @@ def balanced_group_split(groups: DataFrame, seeds: list[int], test_frac: float =
             return rows
         return feed
 
-    d = _seeds(groups, seeds)
-    r = _greedy(d, [S.hash_int(F.lit("gd"), "split_seed", "grp"), "_h", "grp"], rule, "string")
-    return r.withColumnRenamed("choice", "side")
+    d = _seeds(groups, seeds).withColumn("_h", S.hash_int(F.lit("gd"), "split_seed", "grp"))
+    sums = O.running_sums(d.withColumn(O.BUCKET, O.hash_bucket(F.col("_h"))), ["_h", "grp"], {"_rows": F.col("n"), "_rank": F.lit(1)}, ["split_seed"])
+    # of the groups in front of one that is looked at, all but `look_ahead` are on a test side that is still too small
+    largest = groups.agg(F.max("n")).first()[0] or 0
+    near = (F.col("_rows") - F.col("n") - look_ahead * largest < target) | (F.col("_rank") <= min_test_groups + look_ahead)
+    sums = sums.withColumn("_near", near)
+    r = _greedy(sums.filter("_near").drop("_h"), [S.hash_int(F.lit("gd"), "split_seed", "grp"), "_h", "grp"], rule, "string").withColumnRenamed("choice", "side")
+    return r.unionByName(sums.filter("NOT _near").select("split_seed", "grp", "n", "n1", F.lit("train").alias("side")))
 
 
 def stratified_group_split(groups: DataFrame, seeds: list[int], test_frac: float = 0.2) -> DataFrame:
@@ -145,43 +155,104 @@ def stratified_group_split(groups: DataFrame, seeds: list[int], test_frac: float
     return d.withColumn("side", side(F.col("_test"))).drop("_test")
 
 
-def three_way_group_split(groups: DataFrame, seeds: list[int], fracs=(0.6, 0.2, 0.2)) -> DataFrame:
-    """D5. In hash order, each group goes to the bucket with the largest deficit."""
-    n = groups.agg(F.sum("n")).first()[0]
-    names = ("train", "calibration", "test")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Name a value inside an expression, so it is computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
 
-    def rule():
-        have = [0, 0, 0]
 
-        def feed(r):
-            if r is None:
-                return []
-            gap = [f * n - h for f, h in zip(fracs, have)]
-            j = gap.index(max(gap))
-            have[j] += r.n
-            return [(r.split_seed, r.grp, r.n, r.n1, names[j])]
-        return feed
+def _exact_div(a: Column, b: Column) -> Column:
+    """Whole quotient rounded down, also of negative numbers, without doubles."""
+    return F.call_function("div", a - F.pmod(a, b), b)
 
-    r = _greedy(_seeds(groups, seeds), [S.hash_int(F.lit("tw"), "split_seed", "grp"), "_h", "grp"], rule, "string")
-    return r.withColumnRenamed("choice", "side")
 
+def _deal(loads: Column, size: Column, c: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """Give c items of one size, one after the other, to the lightest of some loads (ties: the first).
 
-def group_k_fold(groups: DataFrame, k: int = 5) -> DataFrame:
-    """D10. Groups by falling size, each to the lightest fold; every group is tested once."""
-    def rule():
-        load = [0] * k
+    A load is q sizes and a remainder e. Item after item goes by (q + items got, e, place), so
+    all that a load with q below some round gets before it is round - q. The largest round that
+    c items complete is a minimum over how many loads take part. `then` is given the items each
+    load got in whole rounds, how many are left, and the order (e, place) in which they go on.
+    """
+    q = F.transform(loads, lambda x: _exact_div(x, size))
+    smallest = lambda qs: F.transform(F.sequence(F.lit(1), F.size(qs)), lambda i: _exact_div(
+        c + F.aggregate(F.slice(F.array_sort(qs), F.lit(1), i), F.lit(0).cast("bigint"), lambda x, y: x + y), i.cast("bigint")))
+
+    def at_round(qs: Column, last: Column) -> Column:
+        whole = F.transform(qs, lambda x: F.greatest(F.lit(0).cast("bigint"), last - x))
+        left = c - F.aggregate(whole, F.lit(0).cast("bigint"), lambda x, y: x + y)
+        order = F.array_sort(F.filter(F.transform(loads, lambda x, j: F.when(F.get(qs, j) <= last, F.struct(F.pmod(x, size).alias("e"), j.alias("j")))),
+                                      lambda x: x.isNotNull()))
+        return then(whole, left, order)
+
+    return _let(q, lambda qs: _let(F.array_min(smallest(qs)), lambda last: at_round(qs, last)))
 
-        def feed(r):
-            if r is None:
-                return []
-            j = load.index(min(load))
-            load[j] += r.n
-            return [(r.split_seed, r.grp, r.n, r.n1, j)]
-        return feed
 
-    d = groups.withColumn("split_seed", F.lit(0)).withColumn("_neg", -F.col("n"))
-    r = _greedy(d, [F.lit(0), "_neg", "grp"], rule, "int")
-    return r.withColumnRenamed("choice", "fold").drop("split_seed")
+def _dealt(loads: Column, size: Column, c: Column) -> Column:
+    """The loads after c items of one size."""
+    def add(whole: Column, left: Column, order: Column) -> Column:
+        return _let(F.struct(whole.alias("w"), F.transform(F.slice(order, F.lit(1), left.cast("int")), lambda x: x["j"]).alias("more")),
+                    lambda s: F.transform(loads, lambda x, j: x + size * (F.get(s["w"], j) + F.when(F.array_contains(s["more"], j), 1).otherwise(0))))
+    return _deal(loads, size, c, add)
+
+
+def _taker(loads: Column, size: Column, r: Column) -> Column:
+    """The load that takes the item after r others of its size."""
+    return _deal(loads, size, r, lambda whole, left, order: F.get(order, left.cast("int"))["j"])
+
+
+def deal_groups(groups: DataFrame, start: list[int], scale: int, run_order: list[Column], tie: Column, chunk: int = 1024) -> DataFrame:
+    """Groups of (split_seed, grp, n), run after run of equal n, each to the lightest load: adds `choice`.
+
+    The walk goes over runs, fewer than the square root of twice the rows, and moves by a whole
+    run in closed form. Loads are noted at every 1,024th run, and then inside these chunks, side
+    by side, so no list of the length of the walk is copied at each step. A group finds its
+    choice by its rank in the run; ranks come from buckets of the hash, so a run of a third of
+    all groups is many tasks.
+    """
+    size = (F.col("n") * scale).cast("bigint")
+    runs = groups.groupBy("split_seed", "n").agg(F.count(F.lit(1)).alias("_c"))
+    seq = runs.groupBy("split_seed").agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(run_order)], "n", size.alias("s"), "_c"))).alias("_runs"))
+    first = F.array(*[F.lit(x).cast("bigint") for x in start])
+    none = F.array().cast("array<array<bigint>>")
+
+    def mark(a: Column, r: Column) -> Column:
+        at = F.when(a["k"] % chunk == 0, F.concat(a["marks"], F.array(a["loads"]))).otherwise(a["marks"])
+        return F.struct(_dealt(a["loads"], r["s"], r["_c"]).alias("loads"), (a["k"] + 1).alias("k"), at.alias("marks"))
+
+    def note(a: Column, r: Column) -> Column:
+        return F.struct(_dealt(a["loads"], r["s"], r["_c"]).alias("loads"), F.concat(a["marks"], F.array(a["loads"])).alias("marks"))
+
+    marks = F.aggregate("_runs", F.struct(first.alias("loads"), F.lit(0).alias("k"), none.alias("marks")), mark, lambda a: a["marks"])
+    parts = seq.select("split_seed", "_runs", F.posexplode(marks).alias("_k", "_first"))
+    parts = parts.select("split_seed", "_first", F.slice("_runs", F.col("_k") * chunk + 1, F.lit(chunk)).alias("_part"))
+    inside = F.aggregate("_part", F.struct(F.col("_first").alias("loads"), none.alias("marks")), note, lambda a: a["marks"])
+    at = parts.select("split_seed", F.explode(F.arrays_zip("_part", inside.alias("_at"))).alias("_x"))
+    at = at.select("split_seed", F.col("_x._part.n").alias("n"), F.col("_x._at").alias("_loads"))
+    ranked = O.hash_rank(groups, tie, ["grp"], ["split_seed", "n"], "_rank")
+    return ranked.join(at, ["split_seed", "n"]) \
+        .withColumn("choice", _taker(F.col("_loads"), size, F.col("_rank").cast("bigint") - 1).cast("int")).drop("_rank", "_loads")
+
+
+def three_way_group_split(groups: DataFrame, seeds: list[int], fracs=(0.6, 0.2, 0.2)) -> DataFrame:
+    """D5. Each group goes to the side with the largest deficit, sizes in the order of a hash.
+
+    Groups of equal size follow each other, in the order of another hash. Deficits are compared
+    as whole numbers.
+    """
+    n = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shares = [Fraction(str(f)) for f in fracs]
+    scale = math.lcm(*[f.denominator for f in shares])
+    r = deal_groups(_seeds(groups, seeds), [-int(f * scale) * n for f in shares], scale, [S.hash_int(F.lit("tw"), "split_seed", "n")],
+                    S.hash_int(F.lit("tw"), "split_seed", "grp"))
+    names = F.array(*[F.lit(x) for x in ("train", "calibration", "test")])
+    return r.select("split_seed", "grp", "n", "n1", F.get(names, F.col("choice")).alias("side"))
+
+
+def group_k_fold(groups: DataFrame, k: int = 5) -> DataFrame:
+    """D10. Groups by falling size, each to the lightest fold; every group is tested once."""
+    d = groups.withColumn("split_seed", F.lit(0))
+    r = deal_groups(d, [0] * k, 1, [-F.col("n")], S.hash_int(F.lit("kf"), "grp"))
+    return r.select("grp", "n", "n1", F.col("choice").alias("fold"))
 
 
 def overlapping_groups(assign: DataFrame, grp: str = "grp", split: str = "split_seed") -> DataFrame:

@@ -408,9 +408,18 @@ def split_group(spark, d):
     return D.group_disjoint_split(_groups(spark, d), X.SEEDS).select("split_seed", "grp", "side")
 
 
-@query("split_group_balanced")
+@query("split_group_balanced", f"""WITH RECURSIVE {GS}, t AS (SELECT sum(n)::BIGINT AS n, sum(n1) / sum(n)::DOUBLE AS share, floor(sum(n) * 0.2e0) AS target FROM g),
+o AS (SELECT split_seed, grp, n, n1, row_number() OVER (PARTITION BY split_seed ORDER BY {h("'gd|' || split_seed || '|' || grp")}, grp) AS i FROM g, sd),
+w AS (SELECT split_seed, []::VARCHAR[] AS picked, 0::BIGINT AS n, 0::BIGINT AS n1 FROM sd UNION ALL
+  SELECT split_seed, list_append(any_value(picked), arg_min(grp, (err, i))), (any_value(wn) + arg_min(n, (err, i)))::BIGINT, (any_value(wn1) + arg_min(n1, (err, i)))::BIGINT
+  FROM (SELECT w.split_seed, picked, w.n AS wn, w.n1 AS wn1, o.grp, o.n, o.n1, o.i, abs((w.n1 + o.n1) / (w.n + o.n)::DOUBLE - t.share) AS err,
+          row_number() OVER (PARTITION BY w.split_seed ORDER BY o.i) AS rk
+        FROM w JOIN o USING (split_seed), t WHERE NOT (w.n >= t.target AND len(picked) >= 2) AND NOT list_contains(picked, o.grp))
+  WHERE rk <= 8 GROUP BY split_seed),
+l AS (SELECT split_seed, arg_max(picked, len(picked)) AS picked FROM w GROUP BY split_seed)
+SELECT split_seed, grp, n, n1, CASE WHEN list_contains(picked, grp) THEN 'test' ELSE 'train' END AS side FROM o JOIN l USING (split_seed)""")
 def split_group_balanced(spark, d):
-    """D3, balanced form: a sequential rule without an SQL twin."""
+    """D3, balanced form."""
     return D.balanced_group_split(_groups(spark, d), X.SEEDS)
 
 
@@ -422,15 +431,26 @@ def split_stratified(spark, d):
     return D.stratified_group_split(_groups(spark, d, "category"), X.SEEDS).select("split_seed", "grp", "category", "side")
 
 
-@query("split_three_way")
+def _dealt_sql(order: str, loads: str, scale: int, seeds: str) -> str:
+    """Group after group to the lightest load: (split_seed, grp, n, n1, j), j from 1."""
+    return f"""o AS (SELECT split_seed, grp, n, n1, row_number() OVER (PARTITION BY split_seed ORDER BY {order}, grp) AS i FROM g, {seeds}),
+w AS (SELECT split_seed, 0::BIGINT AS i, NULL::VARCHAR AS grp, 0::BIGINT AS n, 0::BIGINT AS n1, {loads} AS loads, 0::BIGINT AS j FROM {seeds}, (SELECT sum(n)::BIGINT AS t FROM g) UNION ALL
+  SELECT split_seed, o.i, o.grp, o.n, o.n1::BIGINT, list_transform(w.loads, lambda x, k: x + CASE WHEN k = list_position(w.loads, list_min(w.loads)) THEN {scale} * o.n ELSE 0 END),
+    list_position(w.loads, list_min(w.loads))
+  FROM w JOIN o USING (split_seed) WHERE o.i = w.i + 1)"""
+
+
+@query("split_three_way", f"""WITH RECURSIVE {GS}, {_dealt_sql(h("'tw|' || split_seed || '|' || n") + ", n, " + h("'tw|' || split_seed || '|' || grp"), "[-3 * t, -t, -t]", 5, "sd")}
+SELECT split_seed, grp, n, n1, ['train', 'calibration', 'test'][j] AS side FROM w WHERE i > 0""")
 def split_three_way(spark, d):
-    """Sequential rule."""
+    """D5."""
     return D.three_way_group_split(_groups(spark, d), X.SEEDS)
 
 
-@query("group_k_fold")
+@query("group_k_fold", f"""WITH RECURSIVE {GS}, {_dealt_sql("-n, " + h("'kf|' || grp"), "[0::BIGINT, 0, 0, 0, 0]", 1, "(SELECT 0 AS split_seed)")}
+SELECT grp, n, n1, j - 1 AS fold FROM w WHERE i > 0""")
 def group_k_fold(spark, d):
-    """Sequential rule."""
+    """D10."""
     return D.group_k_fold(_groups(spark, d), 5)
 
 

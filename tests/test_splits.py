@@ -76,6 +76,38 @@ def test_k_fold_tests_each_group_once(corpus):
     assert sum(load) == 900 and sorted(load)[1] > 100
 
 
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_dealing_by_runs_equals_dealing_one_by_one(spark, chunk):
+    # a third of all groups have one size
+    sizes = [7 if k % 3 == 0 else (k * k) % 61 + 1 for k in range(300)] + [500]
+    g = spark.createDataFrame([(f"g{k}", n, n // 2) for k, n in enumerate(sizes)], "grp string, n long, n1 long")
+    total = sum(sizes)
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], h(f"x|g{k}"), f"g{k}"))
+    for start, scale in (([0] * 5, 1), ([-6 * total, -2 * total, -2 * total], 10), ([3], 1)):
+        d = D.deal_groups(g.withColumn("split_seed", F.lit(1)), start, scale, [-F.col("n")], D.S.hash_int(F.lit("x"), "grp"), chunk)
+        got = {r.grp: r.choice for r in d.collect()}
+        load = list(start)
+        for k in order:
+            j = load.index(min(load))
+            load[j] += scale * sizes[k]
+            assert got[f"g{k}"] == j
+
+
+def test_three_way_takes_the_largest_deficit(corpus):
+    g = {r.grp: r.n for r in D.group_summary(corpus, "grp").collect()}
+    got = {r.grp: r.side for r in D.three_way_group_split(D.group_summary(corpus, "grp"), [9]).collect()}
+    have = dict.fromkeys(("train", "calibration", "test"), 0)
+    for k in sorted(g, key=lambda k: (h(f"tw|9|{g[k]}"), g[k], h(f"tw|9|{k}"), k)):
+        side = max(have, key=lambda s: {"train": 3, "calibration": 1, "test": 1}[s] * 900 - 5 * have[s])
+        have[side] += g[k]
+        assert got[k] == side
+
+
+def test_group_splits_of_nothing(spark):
+    g = spark.createDataFrame([], "grp string, n long, n1 long")
+    assert D.three_way_group_split(g, [1]).count() == 0 and D.group_k_fold(g).count() == 0
+
+
 def test_subsample_is_exact_and_whole_where_small(corpus):
     assert D.subsample(corpus, 100, 3, "row_id").count() == 100
     assert D.subsample(corpus, 5000, 3, "row_id").count() == 900
