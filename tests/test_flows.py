@@ -186,3 +186,24 @@ def test_long_header_chains_and_equal_names(spark, tmp_path):
     p = packets_of(spark, tmp_path)
     assert sorted((r.file, r.sport, r.dport, r.payload_len) for r in p.collect()) == [("a/x.pcap", 5, 6, 2), ("b/x.pcap", 5, 6, 2)]
     assert FL.flow_features(p).count() == 2
+
+
+def test_a_flood_is_many_tasks_and_its_gaps_are_right(spark):
+    from pyspark.sql import Window
+    flood = [(k * 0.0025, k, "a", "b", 1, 2) if k % 3 else (k * 0.0025, k, "b", "a", 2, 1) for k in range(40000)]
+    other = [(k % 400 * 0.25, 50000 + k, f"c{k // 400}", "b", 5, 2) for k in range(40000)]
+    d = spark.createDataFrame(flood + other, "ts double, seq long, src string, dst string, sport int, dport int").withColumn("proto", F.lit(17))
+    fk = ["k", "episode", "seg"]
+    flows = FL.assign_flows(FL.flow_key(d), ["k"], slice_rows=500).persist()
+    assert flows.count() == 80000
+    tasks = sorted(r["count"] for r in flows.repartition(16, *fk, "slice").groupBy(F.spark_partition_id()).count().collect())
+    assert tasks[-1] <= 5 * tasks[len(tasks) // 2] and flows.groupBy(*fk, "slice").count().agg(F.max("count")).first()[0] <= 1000
+    w = Window.partitionBy(*fk).orderBy("ts", "seq")
+    fwd = (F.col("src") == F.first("src").over(w)) & (F.col("sport") == F.first("sport").over(w))
+    want = flows.withColumn("want_fwd", fwd).withColumn("want", F.col("ts") - F.lag("ts").over(w))
+    same = F.last(F.when(F.col("want_fwd"), F.col("ts")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    want = want.withColumn("want_own", F.when(F.col("want_fwd"), F.col("ts") - same)).select("seq", "want_fwd", "want", "want_own")
+    got = FL.inter_arrival(flows, fk).join(want, "seq")
+    assert got.count() == 80000
+    assert got.filter(~(F.col("fwd").eqNullSafe(F.col("want_fwd")) & F.col("iat").eqNullSafe(F.col("want")) & F.col("iat_fwd").eqNullSafe(F.col("want_own")))).count() == 0
+    flows.unpersist()
