@@ -1,20 +1,22 @@
-"""Packet captures: a Spark data source for pcap and pcapng, and header decoding in batches."""
+"""Packet captures: pcap and pcapng files read in splits, and header decoding in batches."""
 from __future__ import annotations
 
-import glob
 import gzip
+import io
 import ipaddress
-import os
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import scalars as S
+from ..session import checkpoint
 
 # Link types and the bytes before the network header.
 LINK_BYTES = {0: 4, 1: 14, 12: 0, 101: 0, 113: 16, 228: 0, 229: 0, 276: 20}
@@ -96,61 +98,267 @@ def _pcapng(fh, name: str) -> Iterator[tuple[float | None, int, bytes]]:
             yield ((hi << 32) | lo) / unit, link, body[20:20 + cap]
 
 
-class CaptureReader(DataSourceReader):
-    def __init__(self, options: dict):
-        path = options.get("path", "").removeprefix("file:")
-        found = [path] if os.path.isfile(path) else sorted(
-            p for pat in ("*.pcap", "*.pcapng", "*.cap", "*.pcap.gz", "*.pcapng.gz") for p in glob.glob(os.path.join(path, "**", pat), recursive=True))
-        if not found:
-            raise FileNotFoundError(f"no captures under {path!r}")
-        self.files = found
-        self.root = os.path.dirname(path) if os.path.isfile(path) else path
+# ------------------------------------------------------------------ splits
+_UINT = {"<": "<u4", ">": ">u4"}
+SECTION = 0x0A0D0D0A
+#: Bytes at the front of a split in which its first record is sought; the longest frame that counts as one.
+PROBE, LONGEST = 1 << 20, 1 << 18
+
+
+def _front(buf: bytes) -> tuple[str, str, int] | None:
+    """(format, byte order, first record) of a file by its first bytes."""
+    if buf[:4] == b"\x0a\x0d\x0d\x0a":
+        return "pcapng", "<" if buf[8:12] == b"\x4d\x3c\x2b\x1a" else ">", 0
+    if buf[:4] in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
+        return "pcap", "<", 24
+    if buf[:4] in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
+        return "pcap", ">", 24
+    return None
+
+
+def record_size(buf: bytes, pos: int, kind: str, end: str) -> int:
+    """Bytes of the record or block at `pos`; 0 where its header is cut."""
+    if kind == "pcap":
+        return 16 + struct.unpack_from(end + "I", buf, pos + 8)[0] if pos + 16 <= len(buf) else 0
+    if buf[pos:pos + 4] == b"\x0a\x0d\x0d\x0a":
+        end = "<" if buf[pos + 8:pos + 12] == b"\x4d\x3c\x2b\x1a" else ">"
+    return max(12, struct.unpack_from(end + "I", buf, pos + 4)[0]) if pos + 12 <= len(buf) else 0
+
+
+def walk(buf: bytes, pos: int, kind: str, end: str) -> tuple[int, int, bytes]:
+    """(packets, where the first record that is not whole begins, section and interface blocks) from a record's start on."""
+    n, about = 0, []
+    while (size := record_size(buf, pos, kind, end)) and pos + size <= len(buf):
+        if kind == "pcapng":
+            if buf[pos:pos + 4] == b"\x0a\x0d\x0d\x0a":
+                end, about = "<" if buf[pos + 8:pos + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
+                about.append(buf[pos:pos + size])
+            else:
+                no = struct.unpack_from(end + "I", buf, pos)[0]
+                if no == 1:
+                    about.append(buf[pos:pos + size])
+                n += no in (2, 3, 6)
+        else:
+            n += 1
+        pos += size
+    return n, pos, b"".join(about)
+
+
+def first_record(buf: bytes, kind: str, end: str) -> int | None:
+    """The first place from which plausible records follow each other to the end of the probe."""
+    raw = np.frombuffer(buf[:PROBE], np.uint8)
+    m = len(raw) - 16
+    if m <= 0:
+        return None
+    at = lambda k: np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 4)[k:k + m]).view(_UINT[end]).ravel().astype(np.int64)
+    place = np.arange(m)
+    if kind == "pcap":
+        kept, told = at(8), at(12)
+        good = (at(4) < 10 ** 9) & (kept >= 1) & (kept <= told) & (kept <= LONGEST) & (told <= 1 << 24)
+        to = place + 16 + kept
+    else:
+        size = at(4)
+        good = ((at(0) <= 16) | (at(0) == SECTION)) & (size >= 12) & (size <= LONGEST + 256) & (size % 4 == 0)
+        to = place + size
+        inside = np.flatnonzero(good & (to <= len(raw)))
+        good[inside] = [buf[t - 4:t] == buf[p + 4:p + 8] for p, t in zip(inside.tolist(), to[inside].tolist())]
+    to = np.where(good, np.minimum(to, m), m)
+    good, to = np.append(good, True), np.append(to, m)
+    while True:                                              # follow all chains at once, doubling the steps
+        ahead = good & good[to]
+        if (ahead == good).all() and (to == m)[good].all():
+            break
+        good, to = ahead, to[to]
+    found = np.flatnonzero(good[:m])
+    return int(found[0]) if len(found) else None
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.files]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path = partition.value
-        name = os.path.relpath(path, self.root)              # equal names in two folders stay apart
-        opener = gzip.open if path.endswith(".gz") else open
-        names = ["file", "seq", "ts", "datalink", "frame_len", "frame"]
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
+_INDEX = pa.schema([("path", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("bytes", pa.int64()), ("whole", pa.binary()), ("guess", pa.int32()),
+                    ("kind", pa.string()), ("end", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary()), ("tail", pa.binary()), ("about", pa.binary())])
+_INDEX_DDL = ("path string, block long, size long, bytes long, whole binary, guess int, kind string, end string, start long, n long, prefix binary, tail binary, about binary")
+_PLAN = pa.schema([("path", pa.string()), ("block", pa.int64()), ("what", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("seq", pa.int64()), ("head", pa.binary()),
+                   ("record", pa.binary())])
+_PLAN_DDL = "path string, block long, what string, start long, stop long, seq long, head binary, record binary"
 
-        def flush(seq0: int, rows: list) -> pa.RecordBatch:
-            n = len(rows)
-            cols = [[name] * n, list(range(seq0, seq0 + n)), [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [r[2] for r in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        with opener(path, "rb") as fh:
-            rows, size, seq = [], 0, 0
-            for r in _records(fh, name):
-                rows.append(r)
-                size += len(r[2])
-                if size >= BATCH_BYTES or len(rows) >= 20_000:
-                    yield flush(seq, rows)
-                    seq, rows, size = seq + len(rows), [], 0
-            if rows:
-                yield flush(seq, rows)
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
+    """(path, block, file size, bytes) of each split, from the pieces between line feeds in their order."""
+    def runs():
+        for b in batches:
+            for key, rows in groupby(zip(*(c.to_pylist() for c in b.columns)), key=lambda r: r[:3]):
+                yield key, b"".join([r[3] + b"\n" for r in rows])
+    for (path, block, size), parts in groupby(runs(), key=lambda r: r[0]):
+        yield path, block, size, b"".join([p for _, p in parts])
+
 
+def _index(given: dict[tuple[str, int], tuple[int, str, str]]):
+    """Where the records of a split begin, if nothing is known: a guess for each format. `given` places are not guessed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, block, size, buf in _splits(batches):
+            if given and (path, block) not in given:
+                continue
+            if given:
+                places = [given[path, block]]
+            elif block == 0:
+                if (known := _front(buf)) is None:
+                    raise ValueError(f"{path}: neither pcap nor pcapng")
+                places = [(known[2], known[0], known[1])]
+            else:
+                places = [(p, k, e) for k in ("pcap", "pcapng") for e in "<>" if (p := first_record(buf, k, e)) is not None]
+            rows = [(path, block, size, len(buf), buf if len(buf) <= PROBE else buf[:16], -1, *[None] * 7)]
+            for i, (start, kind, end) in enumerate(places):
+                n, stop, about = walk(buf, start, kind, end)
+                if len(buf) - stop <= 2 * LONGEST or block == 0 or given:
+                    rows.append((path, block, size, len(buf), None, i, kind, end, start, n, buf[:start], buf[stop:], about))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INDEX.types)], schema=_INDEX)
+    return run
+
+
+def _plan(index: pa.Table) -> pa.Table:
+    """Chain the splits of one file: a split counts if it begins where the record before it ends."""
+    splits: dict[int, list[dict]] = {}
+    for r in index.to_pylist():
+        splits.setdefault(r["block"], []).append(r)
+    out, seq, tail, head, kind, end = [], 0, b"", b"", None, None
+    path, left = index["path"][0].as_py(), index["size"][0].as_py()
+    for block in sorted(splits):
+        about = next(r for r in splits[block] if r["guess"] < 0)
+        guesses = [r for r in splits[block] if r["guess"] >= 0]
+        size, left = min(about["bytes"], left), left - about["bytes"]      # the last piece of a file ends without a line feed, or with one of its own
+        over = about["bytes"] - size
+        if block == 0:
+            here = guesses[0]
+            kind, end = here["kind"], here["end"]
+            head = here["prefix"] if kind == "pcap" else b""
+        else:
+            need = 0
+            if tail:
+                whole = tail + about["whole"]
+                need = record_size(whole, 0, kind, end) - len(tail)
+            if need < 0 or need >= size:                                   # the record goes on behind this split
+                if size > len(about["whole"]):
+                    raise ValueError(f"{path}: no record of a sensible length at byte {block}")
+                tail += about["whole"][:size]
+                continue
+            here = next((r for r in guesses if (r["start"], r["kind"], r["end"]) == (need, kind, end)), None)
+            if here is None and size <= len(about["whole"]):               # a small split is at hand
+                buf = about["whole"][:size]
+                n, stop, more = walk(buf, need, kind, end)
+                here = {"start": need, "n": n, "prefix": buf[:need], "tail": buf[stop:] + b"\n" * over, "about": more}
+            if here is None:
+                out.append((path, block, "again", need, None, None, kind.encode() + end.encode(), None))
+                break
+            if tail:
+                record = tail + here["prefix"]
+                n, _, more = walk(record, 0, kind, end)
+                head = more if more[:4] == b"\x0a\x0d\x0d\x0a" else head + more
+                if n:
+                    out.append((path, block, "record", None, None, seq, head, record))
+                    seq += 1
+        tail = here["tail"][:len(here["tail"]) - over] if over else here["tail"]
+        out.append((path, block, "split", here["start"], size - len(tail), seq, head, None))
+        seq += here["n"]
+        head = here["about"] if here["about"][:4] == b"\x0a\x0d\x0d\x0a" else head + here["about"]
+        end = end if kind == "pcap" or not head else _front(head)[1]
+    else:
+        if kind == "pcap" and len(tail) >= 16:                             # a cut last record counts with what is there
+            out.append((path, -1, "record", None, None, seq, head, tail))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PLAN.types)], schema=_PLAN) if out else _PLAN.empty_table()
+
+
+def _batches(records: Iterator[tuple], name: str, seq: int) -> Iterator[pa.RecordBatch]:
+    names = ["file", "seq", "ts", "datalink", "frame_len", "frame"]
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def flush(rows: list) -> pa.RecordBatch:
+        n = len(rows)
+        cols = [[name] * n, list(range(seq, seq + n)), [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [r[2] for r in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    rows, size = [], 0
+    for r in records:
+        rows.append(r)
+        size += len(r[2])
+        if size >= BATCH_BYTES or len(rows) >= 20_000:
+            yield flush(rows)
+            seq, rows, size = seq + len(rows), [], 0
+    if rows:
+        yield flush(rows)
+
+
+def _from_splits(plan: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, block, _, buf in _splits(batches):
+            if (path, block) in plan.value:
+                start, stop, seq, head = plan.value[path, block]
+                yield from _batches(_records(io.BytesIO(head + buf[start:stop]), path), path, seq)
+    return run
 
-class CaptureSource(DataSource):
-    """`spark.read.format("capture").load(folder)`: one partition per capture file."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "capture"
+def _from_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield from _batches(_records(io.BytesIO(r["head"] + r["record"]), r["path"]), r["path"], r["seq"])
 
-    def schema(self) -> str:
-        return PACKET_SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return CaptureReader(self.options)
+def _from_zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(*(c.to_pylist() for c in b.columns)):
+            yield from _batches(_records(gzip.GzipFile(fileobj=io.BytesIO(content)), path), path, 0)
 
 
 def scan_packets(spark: SparkSession, path: str) -> DataFrame:
-    """S10. Packets of every capture under a shared path; the link type is read, never guessed."""
-    spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").load(path)
+    """S10. Packets of every capture under a path of any file system that Spark reads; the link type is read, never guessed.
+
+    Captures are cut like any splittable file (`spark.sql.files.maxPartitionBytes`): Spark's
+    reader of text hands out the raw bytes between line feeds, in order, with the split they are
+    from. Records have no mark, so a first pass finds in each split a place from which plausible
+    records follow each other, counts them, and keeps the cut ones at both ends. The splits of a
+    file are then chained: each must begin where the record before it ends, else it is walked
+    again from that place. A second pass reads the packets of each split; a record across splits
+    is put together from its ends. One line of numbers for each split goes to the driver and
+    back to the tasks, as many as Spark's own plan of the scan has. A task holds one split.
+    Captures in gzip cannot be cut and are one task each.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    one = fs.exists(where) and fs.getFileStatus(where).isFile()
+    root = fs.makeQualified(where.getParent() if one else where).toUri().getRawPath().rstrip("/")
+    ends = "{pcap,pcapng,cap}"
+
+    def files(kind: str, names: str):
+        r = spark.read.option("recursiveFileLookup", "true").format(kind)
+        return r if one else r.option("pathGlobFilter", names)
+
+    zipped = path.endswith(".gz")
+    names = ["path", "block", "size", "piece"]
+    if not (one and zipped):
+        m = F.col("_metadata")
+        lines = files("text", f"*.{ends}").option("lineSep", "\n").load(path) \
+            .select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), m["file_size"].alias("size"), F.col("value").cast("binary").alias("piece"))
+        index, given = checkpoint(lines.select(*names).mapInArrow(_index({}), _INDEX_DDL)), {}
+        while True:
+            plan = checkpoint(index.groupBy("path").applyInArrow(_plan, _PLAN_DDL))
+            again = plan.filter("what = 'again'").collect()
+            if not again:
+                break
+            given = {(r.path, r.block): (r.start, bytes(r.head[:-1]).decode(), bytes(r.head[-1:]).decode()) for r in again}
+            redone = spark.createDataFrame([k for k in given], "path string, block long")
+            first = index.filter("guess < 0").join(redone, ["path", "block"], "left_semi")
+            index = checkpoint(index.join(redone, ["path", "block"], "left_anti").unionByName(first)
+                               .unionByName(lines.select(*names).mapInArrow(_index(given), _INDEX_DDL).filter("guess >= 0")))
+        at = {(r.path, r.block): (r.start, r.stop, r.seq, bytes(r.head)) for r in plan.filter("what = 'split'").drop("record").collect()}
+        cut = lines.select(*names).mapInArrow(_from_splits(spark.sparkContext.broadcast(at)), PACKET_SCHEMA)
+        out = cut.unionByName(plan.filter("what = 'record'").mapInArrow(_from_records, PACKET_SCHEMA))
+    if not one or zipped:
+        content = files("binaryFile", f"*.{ends}.gz").load(path).select("path", "content")
+        whole = content.mapInArrow(_from_zipped, PACKET_SCHEMA)
+        if not one and not at and content.select("path").isEmpty():
+            raise FileNotFoundError(f"no captures under {path!r}")
+        out = whole if one else out.unionByName(whole)
+    # the name under the folder, so that equal names in two folders stay apart
+    name = F.url_decode(F.replace(F.regexp_extract("file", "^(?:[a-zA-Z0-9+.-]+:(?://[^/]*)?)?(/.*)$", 1), F.lit("+"), F.lit("%2B")))
+    return out.withColumn("file", F.substring(name, len(unquote(root)) + 2, 1 << 20))
 
 
 # ------------------------------------------------------------------ headers

@@ -207,3 +207,54 @@ def test_a_flood_is_many_tasks_and_its_gaps_are_right(spark):
     assert got.count() == 80000
     assert got.filter(~(F.col("fwd").eqNullSafe(F.col("want_fwd")) & F.col("iat").eqNullSafe(F.col("want")) & F.col("iat_fwd").eqNullSafe(F.col("want_own")))).count() == 0
     flows.unpersist()
+
+
+@pytest.mark.parametrize("write, ends", [(write_pcap, ("<", ">")), (write_pcapng, ("<",))])
+def test_splits_of_a_capture_hold_the_same_packets(spark, tmp_path, write, ends):
+    """Cuts anywhere: inside headers, inside frames that hold captures, through runs of zeros and of line feeds."""
+    import random
+    rng = random.Random(4)
+    inner = struct.pack("<IIII", 1, 2, 60, 60) + b"\0" * 60
+    kinds = [lambda: rng.randbytes(rng.randrange(0, 900)), lambda: b"\0" * rng.randrange(0, 700), lambda: b"\n" * rng.randrange(0, 300), lambda: inner * rng.randrange(1, 9)]
+    ps = [(round(1 + i * 0.001, 6), ethernet(udp("10.0.0.1", "10.0.0.2", 1, 2, rng.choice(kinds)()))) for i in range(900)]
+    ps += [(9.0, b"\n" * 40), (10.0, b"x" * 59 + b"\n")]
+    for k, e in enumerate(ends):
+        write(tmp_path / f"f{k} +ü.{'pcap' if write is write_pcap else 'pcapng'}", ps, **({"end": e} if write is write_pcap else {}))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("10m", "4001b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            d = CP.scan_packets(spark, str(tmp_path))
+            got = {}
+            for r in d.orderBy("file", "seq").collect():
+                got.setdefault(r.file, []).append((r.seq, r.ts, bytes(r.frame)))
+            assert sorted(got) == sorted(f.name for f in tmp_path.iterdir())
+            for v in got.values():
+                assert v == [(i, pytest.approx(t), f) for i, (t, f) in enumerate(ps)]
+            assert size == "10m" or d.select(F.spark_partition_id()).distinct().count() > 20
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_a_split_that_begins_in_a_captured_capture_is_walked_again(spark, tmp_path):
+    inner = struct.pack("<IIII", 1, 2, 60, 60) + b"\0" * 60
+    ps = [(float(i), ethernet(udp("10.0.0.1", "10.0.0.2", 1, 2, inner * 15))) for i in range(2500)]
+    write_pcap(tmp_path / "n.pcap", ps)
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1200000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1200000b")
+        d = CP.scan_packets(spark, str(tmp_path / "n.pcap"))
+        assert d.rdd.getNumPartitions() > 2
+        assert [(r.seq, r.ts, r.frame_len) for r in d.select("seq", "ts", "frame_len").orderBy("seq").collect()] == [(i, t, len(f)) for i, (t, f) in enumerate(ps)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4194304b")
+
+
+def test_no_captures_raises(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("x")
+    with pytest.raises(FileNotFoundError):
+        CP.scan_packets(spark, str(tmp_path))
