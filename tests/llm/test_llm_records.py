@@ -273,6 +273,35 @@ def test_dense_substitutions_equal_brute_force(spark):
     assert five <= set(got) and len(five) > 100
 
 
+def test_every_pattern_of_equal_words_holds_a_spaced_seed():
+    """The masks' guarantee, by enumeration: bit i of a pattern tells whether word i of a stretch is equal."""
+    def without_seed(patterns, length):
+        for m in decontamination.MASKS:
+            assert "0" in m
+            bits = sum(1 << i for i, on in enumerate(m) if on == "1")
+            for i in range(length - len(m) + 1):
+                patterns = patterns[patterns >> i & bits != bits]
+        return patterns
+
+    for n in (15, 18, 21, 24):                              # two thirds equal; longer stretches hold such windows
+        windows = np.arange(1 << n, dtype=np.uint32)
+        assert not len(without_seed(windows[np.bitwise_count(windows) >= 2 * n // 3], n))
+    for n in range(5, 23):                                  # shorter ones score what an item of at least ten and as many words needs
+        p = np.arange(1 << n, dtype=np.uint32)
+        equal = np.bitwise_count(p).astype(int)
+        need = min(10, (max(n, 10) + 1) // 2)
+        p = p[(p & 1 == 1) & (p >> (n - 1) == 1) & (equal >= 2 * (n - equal) + 3) & (2 * equal - n >= need)]
+        assert len(p) and not len(without_seed(p, n))
+
+
+def test_short_items_are_compared_whole(spark):
+    t = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, ""), (5, None)], "test_id long, sequence string")
+    rows = [(1, "x alpha y"), (2, "beta x gamma"), (3, "the beta, gamma ray"), (4, "one two three"), (5, "zero one two three four"), (6, "alpha"), (7, "")]
+    r = spark.createDataFrame(rows, "row_id long, sequence string")
+    got = sorted(tuple(x) for x in decontamination.test_overlaps(r, t).collect())
+    assert got == [(1, 1, 1), (3, 2, 2), (5, 3, 4), (6, 1, 1)]
+
+
 def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     tests = [flows(rng, 40) for _ in range(3)]
