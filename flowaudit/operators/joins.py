@@ -136,14 +136,18 @@ def _undominated(m: np.ndarray, against: np.ndarray) -> np.ndarray:
     return keep
 
 
-def non_dominated(df: DataFrame, axes: dict[str, int], keys: list[str] = (), broadcast_rows: int = 20_000,
-                  chunk: int = 2_000) -> DataFrame:
+#: Cells of the frontier's grid in one key at most, so that pairs of cells stay a small table.
+GRID_CELLS = 1024
+
+
+def non_dominated(df: DataFrame, axes: dict[str, int], keys: list[str] = (), chunk: int = 2_000) -> DataFrame:
     """J17. Rows that no other row of their key beats: >= on all axes and > on one.
 
-    Each task keeps only what is undominated among the rows it has seen; what one of them
-    drops is dominated for good. The few rows left are compared with each other: through a
-    broadcast when they are few, else in chunks, where every chunk meets every other chunk
-    whose best sum of axes could beat it.
+    Each task keeps only what is undominated among the rows it has seen; what one of them drops
+    is dominated for good. The rows left are laid on a grid of quantiles of each axis. A cell
+    that is above another on every axis beats all its rows, so the other goes unread; rows are
+    compared only with those of cells that are nowhere below theirs, in chunks on both sides.
+    Quantiles, cells and their pairs are tables by key; nothing is collected.
     """
     use = usable_axes(df, axes)
     cols = df.columns
@@ -151,7 +155,7 @@ def non_dominated(df: DataFrame, axes: dict[str, int], keys: list[str] = (), bro
         return df.limit(0)
     kt = F.to_json(F.struct(*keys)) if keys else F.lit("")
     sums = [F.col(c).cast("double") * axes[c] for c in use]
-    d = df.select(*cols, kt.alias("_key"), F.array(*sums).alias("_m"), reduce(lambda x, y: x + y, sums).alias("_s"))
+    d = df.select(*cols, kt.alias("_key"), F.array(*sums).alias("_m"))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, pd.DataFrame] = {}
@@ -164,39 +168,34 @@ def non_dominated(df: DataFrame, axes: dict[str, int], keys: list[str] = (), bro
             yield g
 
     from ..session import checkpoint
-    cand = checkpoint(d.mapInPandas(local, d.schema))
-    n = cand.count()
-    if n <= broadcast_rows:
-        rows = [(r["_key"], list(r["_m"])) for r in cand.select("_key", "_m").distinct().collect()]
-        by: dict[str, np.ndarray] = {}
-        for k in {r[0] for r in rows}:
-            by[k] = np.array([m for kk, m in rows if kk == k])
-
-        def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                keep = [bool(_undominated(np.asarray([m]), by[k])[0]) for k, m in zip(b["_key"], b["_m"])]
-                yield b[np.array(keep, bool)]
-        return cand.mapInPandas(last, cand.schema).select(*cols)
-
-    # more candidates: chunks by rank of the axis sum; a better row has a larger sum
-    r = O.value_rank(cand.withColumn("_id", F.monotonically_increasing_id()), "_s", ["_id"], totals=False)
-    r = checkpoint(r.withColumn("_ch", F.floor(F.col("rank") / chunk).cast("int")))
-    top = r.agg(F.max("_ch")).first()[0]
-    left = r.withColumn("_vs", F.explode(F.sequence(F.col("_ch"), F.lit(top))))
-    right = r.select("_key", "_m", F.col("_ch").alias("_vs")).distinct()
-    right = right.withColumn("_ch", F.explode(F.sequence(F.lit(0), F.col("_vs"))))
-
-    def beaten(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, g in a.groupby("_key", sort=False):
-            o = b[b["_key"] == k]
-            if len(o):
-                keep = _undominated(np.stack(g["_m"].to_numpy()), np.stack(o["_m"].to_numpy()))
-                out += g["_id"].to_numpy()[~keep].tolist()
-        return pd.DataFrame({"_id": out}, dtype="int64")
-    lost = left.select("_ch", "_vs", "_key", "_m", "_id").groupBy("_ch", "_vs").cogroup(
-        right.groupBy("_ch", "_vs")).applyInPandas(beaten, "_id long")
-    return r.join(lost.distinct(), "_id", "left_anti").select(*cols)
+    cand = checkpoint(d.mapInPandas(local, d.schema)).withColumn("_id", F.monotonically_increasing_id())
+    side = max(2, int(GRID_CELLS ** (1 / len(use)) + 1e-9))
+    cuts = [F.percentile_approx(F.col("_m")[i], [k / side for k in range(1, side)], 1000).alias(f"_e{i}") for i in range(len(use))]
+
+    def place(i: int) -> Column:
+        return F.size(F.filter(F.col(f"_e{i}"), lambda e: e < F.col("_m")[i]))
+
+    grid = cand.join(cand.groupBy("_key").agg(*cuts), "_key").withColumn("_cell", F.array(*[place(i) for i in range(len(use))])).drop(*[f"_e{i}" for i in range(len(use))])
+    cells = grid.groupBy("_key", "_cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_n"))
+    low, high = cells.select("_key", "_cell", "_n"), cells.select("_key", F.col("_cell").alias("_over"), F.col("_n").alias("_m_over"))
+    pairs = checkpoint(low.join(high, "_key").filter(F.forall(F.zip_with("_over", "_cell", lambda a, b: a >= b), lambda x: x)))
+    beaten = pairs.filter(F.forall(F.zip_with("_over", "_cell", lambda a, b: a > b), lambda x: x)).select("_key", "_cell").distinct()
+    pairs = pairs.join(beaten, ["_key", "_cell"], "left_anti").join(beaten.withColumnRenamed("_cell", "_over"), ["_key", "_over"], "left_anti")
+    pairs = pairs.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))) \
+        .withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_m_over") - 1))).select("_key", "_cell", "_x", "_over", "_y")
+    r = checkpoint(grid.join(beaten, ["_key", "_cell"], "left_anti").join(cells, ["_key", "_cell"])
+                   .withColumn("_x", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")).drop("_n"))
+    left = r.select("_key", "_cell", "_x", "_m", "_id").join(pairs, ["_key", "_cell", "_x"])
+    right = r.select("_key", F.col("_cell").alias("_over"), F.col("_x").alias("_y"), "_m").join(pairs, ["_key", "_over", "_y"])
+
+    def lost(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        keep = _undominated(np.stack(a["_m"].to_numpy()), np.stack(b["_n"].to_numpy())) if len(a) and len(b) else np.ones(len(a), bool)
+        return pd.DataFrame({"_id": a["_id"].to_numpy()[~keep]}, dtype="int64")
+
+    by = ["_key", "_cell", "_x", "_over", "_y"]
+    right = right.select(F.col("_m").alias("_n"), *[F.col(c).alias(f"{c}2") for c in by])
+    worse = left.groupBy(*by).cogroup(right.groupBy(*[f"{c}2" for c in by])).applyInPandas(lost, "_id long")
+    return r.join(worse.distinct(), "_id", "left_anti").select(*cols)
 
 
 def pareto_2d(df: DataFrame, x: str, y: str, keys: list[str], sx: int = 1, sy: int = 1) -> DataFrame:

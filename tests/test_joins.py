@@ -28,12 +28,12 @@ def test_earlier_partner_wins_a_tie(spark):
     assert J.nearest_in_time(a, b, ["k"]).first().dt == -1.0
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_frontier_against_all_pairs(spark, few):
+@pytest.mark.parametrize("chunk", [2_000, 7])
+def test_frontier_against_all_pairs(spark, chunk):
     r = random.Random(8)
     pts = [(i, "ab"[i % 2], r.randrange(12), r.randrange(12), r.randrange(12)) for i in range(300)]
     d = spark.createDataFrame(pts, "id int, k string, x int, y int, z int").repartition(5)
-    got = {p.id for p in J.non_dominated(d, {"x": 1, "y": 1, "z": -1}, ["k"], broadcast_rows=few, chunk=7).collect()}
+    got = {p.id for p in J.non_dominated(d, {"x": 1, "y": 1, "z": -1}, ["k"], chunk=chunk).collect()}
     want = set()
     for p in pts:
         v = (p[2], p[3], -p[4])
@@ -43,6 +43,14 @@ def test_frontier_against_all_pairs(spark, few):
     assert got == want
 
 
+def test_frontier_of_rows_that_are_all_on_it(spark):
+    """A third of the rows are one point, the others beat each other nowhere; one more is beaten."""
+    pts = [(i, float(i), -float(i)) for i in range(400)] + [(1000 + i, 200.5, 3.0) for i in range(200)] + [(5000, 200.0, 2.0)]
+    d = spark.createDataFrame(pts, "id int, x double, y double").repartition(6)
+    got = sorted(p.id for p in J.non_dominated(d, {"x": 1, "y": 1}, chunk=50).collect())
+    assert got == [i for i, x, y in pts if not (x <= 200.5 and y <= 3.0 and (x, y) != (200.5, 3.0))]
+
+
 def test_axis_with_missing_values_is_left_out(spark):
     d = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, 5.0)], "m string, x double, y double")
     assert [r.m for r in J.non_dominated(d, {"x": 1, "y": 1}).collect()] == ["b"]
