@@ -77,15 +77,14 @@ def transfer_summary(spark, d):
     return r6(r.select("model", "measure", *IV))
 
 
-PROT = f"""{SCORES}, sd AS (SELECT unnest([101, 102, 103, 104]) AS seed), pr AS (SELECT unnest(['random', 'group_disjoint', 'stratified_group']) AS protocol),
-pk AS (SELECT protocol, model, seed AS split_seed, y, score FROM scores, sd, pr WHERE split_seed = 101 AND {u("CASE protocol WHEN 'random' THEN 'pr' || seed || '|' || row_id WHEN 'group_disjoint' THEN 'pg' || seed || '|' || grp ELSE 'ps' || seed || '|' || grp || '|' || category END")} < 0.2e0),
+PROT = f"""{SCORES}, pr AS (SELECT unnest(['random', 'group_disjoint', 'stratified_group']) AS protocol),
+pk AS (SELECT protocol, model, split_seed, y, score FROM scores, pr WHERE {u("CASE protocol WHEN 'random' THEN 'pr' || split_seed || '|' || row_id WHEN 'group_disjoint' THEN 'pg' || split_seed || '|' || grp ELSE 'ps' || split_seed || '|' || grp || '|' || category END")} < 0.2e0),
 pc AS (SELECT protocol, model, split_seed, count(*) FILTER (WHERE y = 1 AND score >= 0.5e0) AS tp, count(*) FILTER (WHERE y = 0 AND score >= 0.5e0) AS fp, count(*) FILTER (WHERE y = 1 AND score < 0.5e0) AS fn, count(*) FILTER (WHERE y = 0 AND score < 0.5e0) AS tn FROM pk GROUP BY ALL),
 pf AS (SELECT protocol, model, split_seed, {_F1} AS f1_macro FROM pc)"""
 
 
 def _protocols(spark, d):
-    s = X.scores(spark, d).filter("split_seed = 101").drop("split_seed")
-    s = s.withColumn("split_seed", F.explode(F.array(*[F.lit(x) for x in X.SEEDS])))
+    s = X.scores(spark, d)
     kind = {"random": ("pr", ["row_id"]), "group_disjoint": ("pg", ["grp"]), "stratified_group": ("ps", ["grp", "category"])}
     hit = F.array_compact(F.array(*[F.when(S.hash_unit(F.concat(F.lit(t), F.col("split_seed").cast("string")), *cols) < 0.2, F.lit(p))
                                     for p, (t, cols) in kind.items()]))
@@ -484,12 +483,18 @@ def em_step(spark, d):
     return r6(K.em_step(t, 0.4, 0.35, ["model"]))
 
 
-@query("em_prior")
+_PI = _PQ.replace("0.002e0", "pi")
+
+
+@query("em_prior", f"""WITH RECURSIVE {SCORES}, hs AS (SELECT model, score, count(*) AS n FROM scores WHERE "domain" = 'target' GROUP BY ALL),
+e AS (SELECT model, 0 AS i, 0.4e0 AS pi, 0.4e0 AS found, false AS done FROM models UNION ALL
+  SELECT model, i + 1, least(greatest(new, 1e-6), 1 - 1e-6), CASE WHEN abs(new - pi) < 1e-8 THEN new ELSE least(greatest(new, 1e-6), 1 - 1e-6) END, abs(new - pi) < 1e-8
+  FROM (SELECT model, any_value(i) AS i, any_value(pi) AS pi, sum({_PI} / (1e0 + {_PI}) * n) / sum(n) AS new FROM e JOIN hs USING (model) WHERE NOT done AND i < 200 GROUP BY model))
+SELECT model, (SELECT sum(n)::BIGINT FROM hs WHERE hs.model = l.model) AS n, round(found, 6) AS pi_hat, l.i AS iterations FROM (SELECT model, max(i) AS i, arg_max(found, i) AS found FROM e GROUP BY model) l""")
 def em_prior(spark, d):
-    """M13 run to its fixed point."""
-    t = X.scores(spark, d).filter("domain = 'target' AND model = 'boost'")
-    pi, n = K.em_prior(t, 0.4)
-    return t.agg(F.count(F.lit(1)).alias("n")).withColumn("pi_hat", F.round(F.lit(pi), 6)).withColumn("iterations", F.lit(n))
+    """M13 run to its fixed point for every model."""
+    t = X.scores(spark, d).filter("domain = 'target'")
+    return r6(K.em_priors(t, 0.4, ["model"]))
 
 
 @query("bbse", f"""WITH {CAL}, c AS (SELECT model, count(*)::DOUBLE AS n, count(*) FILTER (WHERE y = 1 AND score >= 0.5e0) / count(*)::DOUBLE AS c11, count(*) FILTER (WHERE y = 0 AND score >= 0.5e0) / count(*)::DOUBLE AS c10, count(*) FILTER (WHERE y = 1 AND score < 0.5e0) / count(*)::DOUBLE AS c01, count(*) FILTER (WHERE y = 0 AND score < 0.5e0) / count(*)::DOUBLE AS c00 FROM sc GROUP BY model),

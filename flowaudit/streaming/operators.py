@@ -140,13 +140,14 @@ def stream_rates(records: DataFrame, counter: str = "counter") -> DataFrame:
 
 
 def alert_sink(model, cols: list[str], path: str, tau: float = 0.5, row_id: str = "row_id") -> Callable[[DataFrame, int], None]:
-    """X5. foreachBatch sink: score finished windows with a fitted model and append the alerts.
+    """X5. foreachBatch sink: score finished windows with a fitted model and write the alerts.
 
-    The batch id is a column of the output, so a replayed batch can be told apart.
+    Each batch has a folder of its own, `batch_id=<n>`, which a replayed batch writes anew, so
+    an alert is out once. The id is a column when the path is read.
     """
     from ..operators import models as M
 
     def run(batch: DataFrame, batch_id: int) -> None:
         s = M.predict_scores(model, batch, row_id).filter(F.col("score") >= tau)
-        s.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        s.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return run

@@ -36,4 +36,9 @@ def test_alert_loop(spark, data, tmp_path):
     q.awaitTermination()
     want = M.predict_scores(model, w).filter("score >= 0.5").count()
     assert want > 0 and spark.read.parquet(str(tmp_path / "alerts")).count() == want
+    sink = alert_sink(model, ["value_mean"], str(tmp_path / "alerts"))
+    for _ in range(2):                                       # a batch that is replayed is written anew
+        sink(w, 0)
+    again = spark.read.parquet(str(tmp_path / "alerts"))
+    assert again.count() == want and again.filter("batch_id = 0").count() == want
     assert live.ROCKS.endswith("RocksDBStateStoreProvider")
