@@ -161,17 +161,24 @@ def conflicts_per_file(df: DataFrame, file: str, y: str, kind: str, mixed: str,
         F.avg(m).alias("conflicting"), F.avg(F.when(F.col(y) == 0, m)).alias("benign_conflicting"))
 
 
+#: Attack files of one record that meet its benign files in one task.
+FILES_TOGETHER = 64
+
+
 def pair_conflicts_between_files(df: DataFrame, cols: list[str], file: str, y: str = "y") -> DataFrame:
     """J4. Benign copies in one file against attack copies of the same record in another.
 
     The join runs on per-(record, file) counts, so a record contributes at most files² rows
-    whatever its number of copies.
+    whatever its number of copies. The attack files of a record are dealt into as many lots as
+    64 of them fill, and its benign files go to each lot: a record that is in all files is many
+    join keys, one in a few files is one.
     """
-    g = content_counts(df, cols, y, [file]).withColumn("n0", F.col("n") - F.col("n1"))
-    b = g.filter(F.col("n0") > 0).select(*cols, F.col(file).alias("f_b"), F.col("n0").alias("benign"))
-    a = g.filter(F.col("n1") > 0).select(*cols, F.col(file).alias("f_a"), F.col("n1").alias("attack"))
-    a = a.select(*[F.col(c).alias(f"_a_{c}") for c in cols], "f_a", "attack")
-    cond = reduce(lambda x, z: x & z, [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in cols])
+    lots = F.ceil(F.count_if(F.col("n1") > 0).over(Window.partitionBy(*cols)) / FILES_TOGETHER).cast("int")
+    g = content_counts(df, cols, y, [file]).withColumn("n0", F.col("n") - F.col("n1")).withColumn("_lots", lots).filter("_lots > 0")
+    b = g.filter(F.col("n0") > 0).select(*cols, F.col(file).alias("f_b"), F.col("n0").alias("benign"), F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)).alias("_lot"))
+    a = g.filter(F.col("n1") > 0).select(*[F.col(c).alias(f"_a_{c}") for c in cols], F.col(file).alias("f_a"), F.col("n1").alias("attack"),
+                                         F.pmod(F.xxhash64(file), F.col("_lots")).cast("int").alias("_a_lot"))
+    cond = reduce(lambda x, z: x & z, [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in cols]) & (F.col("_lot") == F.col("_a_lot"))
     p = b.join(a, cond & (F.col("f_b") != F.col("f_a")))
     near = F.abs(F.col("benign") - F.col("attack"))
     return p.groupBy("f_b", "f_a").agg(
@@ -218,19 +225,23 @@ def same_hosts_attacks(copies: DataFrame, attacks: DataFrame, host: list[str], f
                        ts: str) -> DataFrame:
     """J15. Benign copies per (file, hosts) against attacks of the same hosts in other files.
 
-    Both sides are counted per (hosts, file) before they meet.
+    Both sides are counted per (hosts, file) before they meet. The attacks of a pair of hosts
+    are one row, with an entry for each file and type, so the join adds no rows; each row of
+    copies leaves out its own file.
     """
     c = copies.groupBy(file, *host).agg(F.count(F.lit(1)).alias("benign_copies"), F.min(ts).alias("benign_first"),
                                         F.max(ts).alias("benign_last"))
-    a = attacks.groupBy(F.col(file).alias("_f"), *host, kind).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    j = c.join(a, host, "left").withColumn("_ok", F.col("_f") != F.col(file))
-    ok = F.col("_ok")
-    return j.groupBy(file, *host, "benign_copies", "benign_first", "benign_last").agg(
-        F.array_sort(F.collect_set(F.when(ok, F.col("_f")))).alias("attack_files"),
-        F.coalesce(F.sum(F.when(ok, F.col("_n"))), F.lit(0)).alias("attack_flows"),
-        F.array_sort(F.collect_set(F.when(ok, F.col(kind)))).alias("attack_types"),
-        F.min(F.when(ok, F.col("_lo"))).alias("attack_first"), F.max(F.when(ok, F.col("_hi"))).alias("attack_last"))
+    a = attacks.groupBy(*host, F.col(file).alias("f"), F.col(kind).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi")) \
+        .groupBy(*host).agg(F.collect_list(F.struct("f", "k", "n", "lo", "hi")).alias("_all"))
+    entries = F.coalesce("_all", F.array().cast(a.schema["_all"].dataType))
+    j = c.join(a, host, "left").withColumn("_other", F.filter(entries, lambda x: x["f"] != F.col(file)))
+
+    def of(name: str) -> Column:
+        return F.transform("_other", lambda x: x[name])
+    return j.select(file, *host, "benign_copies", "benign_first", "benign_last", F.array_sort(F.array_distinct(of("f"))).alias("attack_files"),
+                    F.aggregate("_other", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("attack_flows"),
+                    F.array_sort(F.array_compact(F.array_distinct(of("k")))).alias("attack_types"),
+                    F.array_min(of("lo")).alias("attack_first"), F.array_max(of("hi")).alias("attack_last"))
 
 
 def label_by_pair(flows: DataFrame, labelled: DataFrame, file: str, a: str, b: str, kind: str,
