@@ -242,105 +242,150 @@ def standardise(train: DataFrame, others: list[DataFrame], vec: str, dim: int) -
     return [d.withColumn(vec, z) for d in [train, *others]]
 
 
+PART_BLOCKS = 1024          # blocks whose bounds meet a chunk of queries in one task
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], rows: int, fn, schema: str) -> DataFrame:
+    """Cogroup on `on` with both sides bounded: the left is cut into chunks of about `rows`, the right repeated for each."""
+    n = left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_n"))
+    left = left.join(n, on).withColumn("_ck", F.pmod(F.xxhash64("_qid"), F.col("_n")).cast("int")).drop("_n")
+    right = right.join(n, on).withColumn("_ck", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return left.groupBy(*on, "_ck").cogroup(right.groupBy(*on, "_ck")).applyInPandas(fn, schema)
+
+
 def nearest_neighbour(train: DataFrame, query: DataFrame, vec: str, train_id: str, query_id: str, n_pivots: int = 32,
                       block_rows: int = 4096, k: int = 1) -> DataFrame:
     """J16. Exact k nearest neighbours: (query_id, rank, train_id, dist), ties by train id.
 
-    Training rows are cut into blocks of bounded size: nearest pivot, then ring of distance
-    to it. By the triangle inequality a block at ring [lo, hi] of a pivot cannot hold
-    anything nearer than the gap between the query's own pivot distance and the ring. Each
-    query first searches its home block, which bounds its k-th distance, and then visits
-    only the blocks whose gap does not exceed that bound. Both sides of a block join are
-    bounded: queries are cut into chunks and the block is repeated per chunk.
+    Training rows are cut into blocks of `block_rows`, whatever their number: nearest pivot, then
+    rank by distance to it. Of each block the least and greatest distance to every pivot are kept,
+    and by the triangle inequality the largest gap between them and the query's own pivot
+    distances bounds what the block can hold from below. A query is bounded from above by the k-th
+    distance around each pivot, then by its home block; it visits only the blocks under that
+    bound. Bounds of cells (pivots squared) go with the tasks; those of blocks stay distributed
+    and meet the queries by cell and part. Distances in a block are a matrix product; what lies
+    within its rounding of the k-th is computed again exactly. Null vectors take no part.
     """
-    n = train.count()
-    block_rows = max(block_rows, -(-n // 100_000), k)         # at most ~100k blocks: their table is small
-    piv = np.array([r[0] for r in train.orderBy(S.hash_int(F.lit("pv"), train_id), train_id).select(
-        F.col(vec).cast("array<double>")).limit(min(n_pivots, n)).collect()])
+    from ..session import checkpoint
     types = {**dict(query.dtypes), **dict(train.dtypes)}
     tid, qid = types[train_id], dict(query.dtypes)[query_id]
+    t = train.select(F.col(train_id).alias("_tid"), F.col(vec).cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
+    q = query.select(F.col(query_id).alias("_qid"), F.col(vec).cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
+    top = t.orderBy(S.hash_int(F.lit("pv"), "_tid"), "_tid").limit(n_pivots).select("_v").collect()      # n_pivots rows at most
+    if not top:
+        return q.select(F.col("_qid").alias(query_id), F.lit(1).alias("rank"), F.lit(None).cast(tid).alias(train_id), F.lit(0.0).alias("dist")).limit(0)
+    piv = np.unique(np.array([r[0] for r in top]), axis=0)
+    tile = max(1, (1 << 21) // piv.size)
 
     def dists(v) -> np.ndarray:
+        """Distances to the pivots; the same vector gets the same figures in every task."""
         x = np.stack(v.to_numpy())
-        return np.sqrt(np.maximum(((x[:, None, :] - piv[None, :, :]) ** 2).sum(-1), 0.0))
+        return np.concatenate([np.sqrt(((x[i:i + tile, None, :] - piv[None, :, :]) ** 2).sum(-1)) for i in range(0, len(x), tile)])
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            parts = []
-            for s in range(0, len(b), 2048):
-                d = dists(b["_v"].iloc[s:s + 2048])
-                parts.append((d.argmin(1), d.min(1)))
-            yield b.assign(_cell=np.concatenate([p[0] for p in parts]), _d=np.concatenate([p[1] for p in parts]))
-
-    t = train.select(F.col(train_id).alias("_tid"), F.col(vec).cast("array<double>").alias("_v"))
-    t = t.mapInPandas(home, f"_tid {tid}, _v array<double>, _cell long, _d double")
-    r = O.value_rank(t, "_d", ["_tid"], ["_cell"], name="_rk", totals=False)
-    from ..session import checkpoint
-    t = checkpoint(r.withColumn("_blk", F.floor((F.col("_rk") - 1) / block_rows).cast("long")).drop("_rk"))
-    st = t.groupBy("_cell", "_blk").agg(F.min("_d").alias("lo"), F.max("_d").alias("hi"),
-                                        F.count(F.lit(1)).alias("n")).orderBy("_cell", "_blk").toPandas()
-    sc, sb = st["_cell"].to_numpy(), st["_blk"].to_numpy()
-    lo, hi, size = st["lo"].to_numpy(), st["hi"].to_numpy(), st["n"].to_numpy()
-    q = query.select(F.col(query_id).alias("_qid"), F.col(vec).cast("array<double>").alias("_v"))
-
-    def gaps(v) -> np.ndarray:
-        d = dists(v)[:, sc]
-        return np.maximum(np.maximum(lo - d, d - hi), 0.0)
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if len(b):
+                d = dists(b["_v"])
+                yield b.assign(_p=list(d), _cell=d.argmin(1), _d=d.min(1))
+
+    t = O.value_rank(t.mapInPandas(home, f"_tid {tid}, _v array<double>, _p array<double>, _cell long, _d double"),
+                     "_d", ["_tid"], ["_cell"], name="_rk", totals=False)
+    t = checkpoint(t.withColumn("_blk", F.floor((F.col("_rk") - 1) / block_rows).cast("long")))
+    ends = [F.array(*[f(F.col("_p")[i]) for i in range(len(piv))]).alias(n) for n, f in (("_lo", F.min), ("_hi", F.max))]
+    cells = t.groupBy("_cell").agg(*ends, F.max(F.when(F.col("_rk") <= k, F.col("_d"))).alias("near"), F.count(F.lit(1)).alias("n"),
+                                   F.max("_blk").alias("last")).toPandas()                              # one row a pivot
+    cell, last = cells["_cell"].to_numpy(), cells["last"].to_numpy()
+    c_lo, c_hi = np.stack(cells["_lo"].to_numpy()), np.stack(cells["_hi"].to_numpy())
+    near = np.where(cells["n"] >= k, cells["near"], np.inf)
+    blocks = checkpoint(t.groupBy("_cell", "_blk").agg(*ends).withColumn("_part", F.floor(F.col("_blk") / PART_BLOCKS).cast("long")))
+
+    def gaps(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Queries x boxes: the largest gap over the pivots, one pivot at a time."""
+        g = np.zeros((len(d), len(lo)))
+        for j in range(d.shape[1]):
+            np.maximum(g, np.maximum(lo[:, j] - d[:, j, None], d[:, j, None] - hi[:, j]), out=g)
+        return g
+
+    def slack(d: np.ndarray) -> np.ndarray:
+        return 1e-9 * (1.0 + d.max(1))
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The nearest cell, and a first bound: to a pivot and on to the k-th of its cell."""
         for b in batches:
-            for s in range(0, len(b), 256):
-                c = b.iloc[s:s + 256]
-                g = gaps(c["_v"])
-                g[:, size < k] += np.where(size.max() >= k, np.inf, 0.0)
-                j = g.argmin(1)
-                yield c.assign(_cell=sc[j], _blk=sb[j])
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if len(b):
+                d = dists(b["_v"])
+                to = d[:, cell]
+                yield b.assign(_cell=cell[to.argmin(1)], _ub=(to + near).min(1) + slack(d))
+
+    def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for s in range(0, len(b), 256):
-                c = b.iloc[s:s + 256]
-                g = gaps(c["_v"])
-                ub = c["_ub"].fillna(np.inf).to_numpy()
-                done = (sc[None, :] == c["_cell"].to_numpy()[:, None]) & (sb[None, :] == c["_blk"].to_numpy()[:, None])
-                i, j = np.nonzero((g <= ub[:, None] * (1 + 1e-9)) & ~done)
-                yield pd.DataFrame({"_qid": c["_qid"].to_numpy()[i], "_v": c["_v"].to_numpy()[i], "_cell": sc[j], "_blk": sb[j]})
+            for s in range(0, len(b), 4096):
+                c = b.iloc[s:s + 4096]
+                d = dists(c["_v"])
+                i, j = np.nonzero(gaps(d, c_lo, c_hi) <= (c["_ub"].to_numpy() + slack(d))[:, None])
+                yield c.iloc[i].assign(_cell=cell[j], _last=last[j])
+
+    def pick(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The home block of each query: the one of least gap in this part of its cell."""
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["_qid", "_gap", "_blk"])
+        b = b.sort_values("_blk")
+        g = gaps(dists(a["_v"]), np.stack(b["_lo"].to_numpy()), np.stack(b["_hi"].to_numpy()))
+        return pd.DataFrame({"_qid": a["_qid"].to_numpy(), "_gap": g.min(1), "_blk": b["_blk"].to_numpy()[g.argmin(1)]})
+
+    def under(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The blocks of this part that may hold something nearer than the bound."""
+        out = []
+        if len(a) and len(b):
+            lo, hi = np.stack(b["_lo"].to_numpy()), np.stack(b["_hi"].to_numpy())
+            for s in range(0, len(a), 1024):
+                c = a.iloc[s:s + 1024]
+                d = dists(c["_v"])
+                ok = gaps(d, lo, hi) <= (c["_ub"].to_numpy() + slack(d))[:, None]
+                ok &= (c["_hc"].to_numpy() != c["_cell"].to_numpy())[:, None] | (c["_hb"].to_numpy()[:, None] != b["_blk"].to_numpy())
+                i, j = np.nonzero(ok)
+                out.append(pd.DataFrame({"_qid": c["_qid"].to_numpy()[i], "_v": c["_v"].to_numpy()[i], "_cell": b["_cell"].to_numpy()[j], "_blk": b["_blk"].to_numpy()[j]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["_qid", "_v", "_cell", "_blk"])
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest rows of one block for each query of a chunk."""
         out = []
         if len(a) and len(b):
             b = b.sort_values("_tid")
             x, ids = np.stack(b["_v"].to_numpy()), b["_tid"].to_numpy()
-            for qi, v in zip(a["_qid"], a["_v"]):
-                d = np.sqrt(((x - v) ** 2).sum(1))
-                for j in np.argsort(d, kind="stable")[:k]:
-                    out.append((qi, ids[j], float(d[j])))
-        return pd.DataFrame(out, columns=["_qid", "_tid", "dist"])
-
-    out_schema = f"_qid {qid}, _tid {tid}, dist double"
-
-    def visit(c: DataFrame) -> DataFrame:
-        cnt = c.groupBy("_cell", "_blk").agg(F.count(F.lit(1)).alias("_m"))
-        cnt = cnt.withColumn("_chunks", F.ceil(F.col("_m") / block_rows).cast("int")).drop("_m")
-        left = c.join(cnt, ["_cell", "_blk"]).withColumn(
-            "_ck", F.pmod(F.xxhash64("_qid"), F.col("_chunks")).cast("int"))
-        right = t.join(cnt, ["_cell", "_blk"]).withColumn("_ck", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        key = ["_cell", "_blk", "_ck"]
-        return left.select("_qid", "_v", *key).groupBy(*key).cogroup(
-            right.select("_tid", "_v", *key).groupBy(*key)).applyInPandas(search, out_schema)
-
-    c1 = q.mapInPandas(first, f"_qid {qid}, _v array<double>, _cell long, _blk long")
-    c1 = checkpoint(c1)
+            xx, kk = (x * x).sum(1), min(k, len(x))
+            for s in range(0, len(a), 512):
+                y = np.stack(a["_v"].to_numpy()[s:s + 512])
+                yy = (y * y).sum(1)
+                g = yy[:, None] + xx - 2.0 * (y @ x.T)
+                kth = np.take_along_axis(g, np.argpartition(g, kk - 1, axis=1)[:, kk - 1:kk], 1)
+                i, j = np.nonzero(g <= kth + 1e-9 * (yy[:, None] + xx.max() + 1e-300))
+                e = np.concatenate([np.sqrt(((x[j[m:m + 65536]] - y[i[m:m + 65536]]) ** 2).sum(1)) for m in range(0, len(i), 65536)])
+                by = np.lexsort((j, e, i))
+                i, j, e = i[by], j[by], e[by]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < kk
+                out.append(pd.DataFrame({"_qid": a["_qid"].to_numpy()[s + i[keep]], "_tid": ids[j[keep]], "dist": e[keep]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["_qid", "_tid", "dist"])
+
+    def visit(d: DataFrame) -> DataFrame:
+        return _meet(d.select("_qid", "_v", "_cell", "_blk"), t.select("_cell", "_blk", "_tid", "_v"), ["_cell", "_blk"], block_rows, search,
+                     f"_qid {qid}, _tid {tid}, dist double")
+
+    def parts_of(d: DataFrame) -> DataFrame:
+        return d.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / PART_BLOCKS).cast("long")))).drop("_last")
+
+    of_cell = q.sparkSession.createDataFrame([(int(c), int(n)) for c, n in zip(cell, last)], "_cell long, _last long")
+    c1 = checkpoint(q.mapInPandas(start, f"_qid {qid}, _v array<double>, _cell long, _ub double"))
+    at = _meet(parts_of(c1.join(of_cell, "_cell")), blocks, ["_cell", "_part"], block_rows, pick, f"_qid {qid}, _gap double, _blk long")
+    c1 = checkpoint(c1.join(at.groupBy("_qid").agg(F.min_by("_blk", F.struct("_gap", "_blk")).alias("_blk")), "_qid"))
     h1 = checkpoint(visit(c1))
-    kth = h1.groupBy("_qid").agg(F.max("dist").alias("_ub"), F.count(F.lit(1)).alias("_n"))
-    kth = kth.withColumn("_ub", F.when(F.col("_n") >= k, F.col("_ub"))).drop("_n")
-    c2 = c1.join(kth, "_qid", "left").mapInPandas(rest, f"_qid {qid}, _v array<double>, _cell long, _blk long")
-    hits = h1.unionByName(visit(c2))
+    kth = h1.groupBy("_qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_k"))
+    c2 = c1.join(kth, "_qid", "left").select("_qid", "_v", F.col("_cell").alias("_hc"), F.col("_blk").alias("_hb"), F.least("_ub", "_k").alias("_ub"))
+    c2 = parts_of(c2.mapInPandas(cells_of, f"_qid {qid}, _v array<double>, _hc long, _hb long, _ub double, _cell long, _last long"))
+    c2 = checkpoint(_meet(c2, blocks, ["_cell", "_part"], block_rows, under, f"_qid {qid}, _v array<double>, _cell long, _blk long"))
     w = Window.partitionBy("_qid").orderBy("dist", "_tid")
-    top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("_qid").alias(query_id), "rank", F.col("_tid").alias(train_id), "dist")
+    best = h1.unionByName(visit(c2)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select(F.col("_qid").alias(query_id), "rank", F.col("_tid").alias(train_id), "dist")
 
 
 def nn_probe(train: DataFrame, test: DataFrame, vec: str, row_id: str, group: str, y: str, dim: int) -> DataFrame:

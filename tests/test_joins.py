@@ -78,6 +78,22 @@ def test_neighbours_against_brute_force(spark, k, block):
         assert [t for _, t in sorted(got[i])] == want
 
 
+def test_neighbours_in_many_blocks_and_parts(spark, monkeypatch):
+    """Bounds of blocks in several parts, ties of copies over blocks, null vectors and an empty training table."""
+    monkeypatch.setattr(J, "PART_BLOCKS", 2)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.integers(0, 3, size=(150, 3)).astype(float), 1e4 + rng.normal(size=(50, 3))])
+    q = np.concatenate([rng.integers(0, 3, size=(20, 3)).astype(float), 1e4 + rng.normal(size=(10, 3))])
+    tr = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "tid int, v array<double>")
+    te = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(999, None)], "qid int, v array<double>")
+    got = {}
+    for r in J.nearest_neighbour(tr, te, "v", "tid", "qid", n_pivots=3, block_rows=8, k=7).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.tid))
+    want = {i: [(n + 1, j) for n, j in enumerate(sorted(range(len(x)), key=lambda j: (np.sqrt(((x[j] - v) ** 2).sum()), j))[:7])] for i, v in enumerate(q)}
+    assert {i: sorted(v) for i, v in got.items()} == want
+    assert J.nearest_neighbour(tr.filter("tid < 0"), te, "v", "tid", "qid").count() == 0
+
+
 def test_alignment_raises(spark):
     a, b = spark.createDataFrame([(0, 1), (1, 2)], "row_id int, c int"), spark.createDataFrame([(0, 1, "x"), (1, 3, "y")], "row_id int, c int, s string")
     with pytest.raises(ValueError):
