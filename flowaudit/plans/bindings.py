@@ -108,3 +108,25 @@ def argus_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.pmod("o_custkey", F.lit(90)).cast("double").alias("Dur"),
                     F.col("o_totalprice").alias("SrcBytes"), dst.alias("DstBytes"), pk.alias("SrcPkts"), dp.alias("DstPkts"),
                     (pk + dp).alias("TotPkts"), (F.col("o_totalprice") + dst).alias("TotBytes"), proto.alias("Proto"))
+
+
+def published_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second corpus as a published pipeline sees it: numeric columns, one-hot protocol, two counters that give a
+    record's position (Seq, Offset), capture file by year, station by file, and flagged copies."""
+    a = argus_flows(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("row_id"), F.col("o_orderkey").alias("Seq"), (F.year("o_orderdate") - 1991).alias("file"))
+    start = o.groupBy("file").agg(F.min("Seq").alias("_first"))
+    o = o.join(start, "file").withColumn("Offset", (F.col("Seq") - F.col("_first")) * 64).drop("_first")
+    proto = [(F.col("Proto") == p).cast("double").alias(p) for p in ("tcp", "udp", "icmp", "arp")]
+    num = [F.col(c).cast("double").alias(c) for c in ("Seq", "Offset", "Dur", "SrcBytes", "DstBytes", "SrcPkts", "DstPkts", "TotPkts", "TotBytes")]
+    return a.join(o, "row_id").select("row_id", "y", "category", "grp", "file", F.when(F.col("file") <= 4, 1).otherwise(2).alias("site"),
+                                      ((F.col("y") == 0) & (F.pmod("Seq", F.lit(20)) == 0)).alias("is_copy"), *num, *proto)
+
+
+def nfstream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Third corpus in the third exporter's columns: line items."""
+    pr = F.element_at(F.array(F.lit(1), F.lit(6), F.lit(17), F.lit(132)), (F.pmod("l_partkey", F.lit(4)) + 1).cast("int"))
+    return lineitem(spark, sf_dir).select(
+        "row_id", "y", "category", "grp", "file", F.col("l_suppkey").alias("bidirectional_duration_ms"), F.col("l_extendedprice").alias("src2dst_bytes"),
+        (F.col("l_extendedprice") / 10).alias("dst2src_bytes"), F.col("l_quantity").alias("src2dst_packets"),
+        F.col("l_linenumber").alias("dst2src_packets"), pr.alias("protocol"), F.when(F.col("l_tax") > 0.04, 1).otherwise(0).alias("tunnel_id"))

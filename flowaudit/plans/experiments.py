@@ -3,18 +3,21 @@
 A run is a list of units, each with a training table and the tables to score. The driver
 loops over units and models; every fit and every score is a Spark job over the whole
 tables. With `store` each unit's scores are appended to a Parquet store as soon as they
-exist, so a lost driver loses one unit; a re-run skips the units that are there.
+exist, so a lost driver loses one score table; a re-run skips what is there.
 """
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import audit as A
 from ..operators import calibrate as K
 from ..operators import counts as C
 from ..operators import models as M
@@ -32,6 +35,15 @@ class Unit:
     train: DataFrame
     tests: dict[str, DataFrame]
     weight: str | None = None
+    cols: list[str] | None = None         # of this unit alone; else the run's
+    specs: tuple | None = None
+
+
+@dataclass
+class Neighbours:
+    """M10's vote of the k nearest training rows, as a model of a run."""
+    k: int = 5
+    key: str = "knn"
 
 
 def with_params(spec: M.ModelSpec, **params) -> M.ModelSpec:
@@ -40,32 +52,43 @@ def with_params(spec: M.ModelSpec, **params) -> M.ModelSpec:
 
 
 def run_units(spark: SparkSession, units: Iterable[Unit], cols: list[str], specs, model_seeds=(11,), store: str | None = None,
-              keep=KEEP) -> DataFrame:
-    """Fit and score every unit: (unit keys…, model_seed, model, domain, keep…, score)."""
+              keep=KEEP, parallel: int = 4) -> DataFrame:
+    """Fit and score every unit: (unit keys…, model_seed, model, domain, keep…, score).
+
+    The models of a unit are fitted `parallel` at a time over its one stored training table;
+    score tables are written one after the other.
+    """
     parts, done = [], set()
+    one = ["unit_key", "model_seed", "model", "domain"]
     if store:
         old = sinks.read_or_none(spark, store)
         if old is not None:
-            done = {r[0] for r in old.select("unit_key").distinct().collect()}
+            done = {tuple(r) for r in old.select(*one).distinct().collect()}          # one row a score table
     for u in units:
         key = "|".join(f"{k}={v}" for k, v in sorted(u.keys.items()))
-        if key in done:
+        use, todo = u.cols or cols, [(ms, spec) for ms in model_seeds for spec in u.specs or specs
+                                     if any((key, ms, spec.key, name) not in done for name in u.tests)]
+        if not todo:
             continue
         train = u.train.persist()
         n1, n0 = M.class_counts(train)
         if n1 == 0 or n0 == 0:               # a single class cannot be fitted
+            train.unpersist()
             continue
-        for ms in model_seeds:
-            for spec in specs:
-                m = M.fit_model(spec, train, cols, ms, extra_weight=u.weight)
-                for name, d in u.tests.items():
-                    s = M.predict_scores(m, d).select(
-                        F.lit(key).alias("unit_key"), *[F.lit(v).alias(k) for k, v in u.keys.items()], F.lit(ms).alias("model_seed"),
-                        F.lit(spec.key).alias("model"), F.lit(name).alias("domain"), *keep, "score")
-                    if store:
-                        sinks.write_table(s, store, mode="append")
-                    else:
-                        parts.append(s)
+        fit = inheritable_thread_target(spark)(lambda x: None if isinstance(x[1], Neighbours) else M.fit_model(x[1], train, use, x[0], extra_weight=u.weight))
+        with ThreadPoolExecutor(parallel) as pool:
+            models = list(pool.map(fit, todo))
+        for (ms, spec), m in zip(todo, models):
+            for name, d in u.tests.items():
+                if (key, ms, spec.key, name) in done:
+                    continue
+                s = M.knn_scores(train, d, use, "row_id", spec.k) if m is None else M.predict_scores(m, d)
+                s = s.select(F.lit(key).alias("unit_key"), *[F.lit(v).alias(k) for k, v in u.keys.items()], F.lit(ms).alias("model_seed"),
+                             F.lit(spec.key).alias("model"), F.lit(name).alias("domain"), *keep, "score")
+                if store:
+                    sinks.write_table(s, store, mode="append")
+                else:
+                    parts.append(s)
         if store:
             train.unpersist()
     return spark.read.parquet(store) if store else reduce(lambda a, b: a.unionByName(b), parts)
@@ -151,6 +174,108 @@ def in_target_reference(spark: SparkSession, corpus: DataFrame, cols: list[str],
     return run_units(spark, units(), cols, specs, store=store, keep=[*KEEP, "file", "is_copy"])
 
 
+def published_run(spark: SparkSession, corpus: DataFrame, feature_sets: dict[str, list[str]], specs, repeats: int = 5, folds: int = 5,
+                  file: str = "file", site: str = "site", neighbours: int | None = 5, store: str | None = None) -> DataFrame:
+    """M10. A published pipeline, changed by one thing a rung: scores by (rung, feature_set, split, model).
+
+    R0 is the published random 70/30 split on the first feature set, with the neighbour vote. R1
+    is the same split on the second set, without the counters that give a row's position away.
+    R2 keeps capture files whole: each file is tested once over the folds. R3 trains on one
+    station's files and tests on the other's, both ways. R2 and R3 run on both sets. A side
+    of one class is skipped. `neighbours` None leaves the vote out.
+    """
+    (first, second) = list(feature_sets)
+    specs = tuple(specs)
+    vote = (Neighbours(neighbours),) if neighbours else ()
+
+    def unit(rung: str, name: str, split: str, train: DataFrame, test: DataFrame, more: tuple = ()) -> Unit:
+        return Unit({"rung": rung, "feature_set": name, "split": split}, train, {"test": test}, cols=feature_sets[name], specs=specs + more)
+
+    def units():
+        for r in range(repeats):
+            rows = D.random_split(corpus, [100 + r], "row_id", 0.3).drop("split_seed").persist()
+            tr, te = (rows.filter(F.col("side") == x).drop("side") for x in ("train", "test"))
+            yield unit("R0", first, f"rep{r}", tr, te, vote)
+            yield unit("R1", second, f"rep{r}", tr, te)
+        dealt = D.group_k_fold(D.group_summary(corpus, file), folds).select(F.col("grp").alias("_g"), "fold")
+        rows = corpus.join(dealt, F.col(file).cast("string") == F.col("_g")).drop("_g").persist()
+        for k in range(folds):
+            for name in (first, second):
+                yield unit("R2", name, f"fold{k}", rows.filter(F.col("fold") != k).drop("fold"), rows.filter(F.col("fold") == k).drop("fold"))
+        for a, b in ((1, 2), (2, 1)):
+            for name in (first, second):
+                yield unit("R3", name, f"site{a}to{b}", corpus.filter(F.col(site) == a), corpus.filter(F.col(site) == b))
+
+    return run_units(spark, units(), [], specs, store=store, keep=[*KEEP, file, "is_copy"])
+
+
+def published_summary(scores: DataFrame) -> DataFrame:
+    """M10. Per rung, set and model: means over splits on all test rows, and on those that are no copies of attacks (`clean_`)."""
+    by = ["rung", "feature_set", "model"]
+    s = scores.withColumn("pred", C.predict())
+    names = ["accuracy", "balanced_accuracy", "recall", "fpr"]
+    both = s.withColumn("_clean", F.lit(0)).unionByName(s.filter(~F.col("is_copy")).withColumn("_clean", F.lit(1)))
+    m = C.detection_metrics(C.confusion(both, [*by, "split", "_clean"]))
+    of = lambda c, v: F.avg(F.when(F.col("_clean") == v, F.col(c)))                          # noqa: E731
+    return m.groupBy(*by).agg(F.count_if(F.col("_clean") == 0).alias("n_splits"), F.sum(F.when(F.col("_clean") == 0, sum(F.col(c) for c in C.CELLS))).alias("n_test"),
+                              *[of(c, 0).alias(c) for c in names], *[of(c, 1).alias(f"clean_{c}") for c in names])
+
+
+def third_corpus_run(spark: SparkSession, corpus: DataFrame, feature_sets: dict[str, list[str]], specs, seeds: list[int], file: str = "file",
+                     store: str | None = None) -> DataFrame:
+    """M23 on a corpus without an outside target: the ladder under a random split stratified by class, and leaving out one
+    capture file after the other, on every feature set. Scores by (feature_set, protocol, split, model)."""
+    def units():
+        for name, cols in feature_sets.items():
+            for s in seeds:
+                rows = D.stratified_random_split(corpus, "row_id", s).persist()
+                yield Unit({"feature_set": name, "protocol": "random", "split": f"seed{s}"}, rows.filter("side = 'train'").drop("side"),
+                           {"test": rows.filter("side = 'test'").drop("side")}, cols=cols)
+            for r in corpus.select(file).distinct().orderBy(file).collect():                 # one row per capture file
+                yield Unit({"feature_set": name, "protocol": "leave_one_file", "split": str(r[0])}, corpus.filter(F.col(file) != r[0]),
+                           {"test": corpus.filter(F.col(file) == r[0])}, cols=cols)
+    return run_units(spark, units(), [], specs, store=store)
+
+
+def feature_set_ceilings(corpus: DataFrame, feature_sets: dict[str, list[str]], y: str = "y") -> DataFrame:
+    """A25 for several feature sets: what a lookup on distinct records, rounded to nine places, could reach at best."""
+    parts = []
+    for name, cols in feature_sets.items():
+        d = corpus.select(y, *[F.round(S.dbl(c), 9).alias(c) for c in cols])
+        r = A.conflict_ceiling(d, cols, y)
+        parts.append(r.select(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("n_features"), "n_distinct", "flows_in_conflicting",
+                              "share_in_conflicting", "attack_share_in_conflicting", "ba_ceiling"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def exporter_sensitivity(source: DataFrame, target: DataFrame, feature_sets: dict[str, list[str]], row_id: str = "row_id", folds: int = 5,
+                         max_iter: int = 200, seed: int = 7) -> dict[str, DataFrame]:
+    """How separable two corpora are, and in which features. The first feature set holds all features, the last the robust ones.
+
+    `domain`: balanced accuracy of a domain classifier on each set, mean and sample sd over stratified folds.
+    `features`: each feature's domain AUC, medians, and W1 after the source's quantile map, which is
+    fitted on the source alone and applied to both. `summary`: the mean W1 of all, robust and other features.
+    """
+    names = list(feature_sets)
+    cols, robust = feature_sets[names[0]], feature_sets[names[-1]]
+    dom = reduce(lambda a, b: a.unionByName(b), [
+        SH.domain_classifier(source, target, c, row_id, folds, max_iter, seed).agg(
+            F.lit(n).alias("feature_set"), F.lit(len(c)).alias("n_features"), F.avg("balanced_accuracy").alias("balanced_accuracy"),
+            F.stddev_samp("balanced_accuracy").alias("ba_sd")) for n, c in feature_sets.items()])
+    f = exporter_features(source, target, cols, robust)
+    w1 = F.col("w1_source_quantile")
+    return {"domain": dom, "features": f, "summary": f.agg(F.avg(w1).alias("w1_mean_shared"), F.avg(F.when(F.col("robust") == 1, w1)).alias("w1_mean_robust"),
+                                                           F.avg(F.when(F.col("robust") == 0, w1)).alias("w1_mean_nonrobust"))}
+
+
+def exporter_features(source: DataFrame, target: DataFrame, cols: list[str], robust: list[str]) -> DataFrame:
+    """A36-A38 side by side: (feature, robust, domain_auc, w1_source_quantile, median_a, median_b)."""
+    grid = SH.quantile_map(source, cols)
+    qa, qb = (SH.melt(SH.apply_quantile_map(d.select(*cols), grid), cols) for d in (source, target))
+    w = SH.wasserstein1(qa, qb).withColumnRenamed("w1", "w1_source_quantile")
+    return SH.univariate_domain_auc(source, target, cols).join(w, "feature").withColumn("robust", F.col("feature").isin(robust).cast("int"))
+
+
 def label_efficient_run(spark: SparkSession, source: DataFrame, target: DataFrame, cols: list[str], specs, ks: list[int], draws: int,
                         variants=("source+k", "target-only"), n_sub: int | None = None, store: str | None = None) -> DataFrame:
     """M24. k labelled target files per draw, with or without the source."""

@@ -1,6 +1,8 @@
 """Queries that fit models. Fits have no SQL twin, so their results are rows only."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -13,7 +15,7 @@ from ..operators import space as SP
 from . import bindings as X
 from . import experiments as E
 from . import telemetry as T
-from .registry import SCORES, counts_sql, query, r6
+from .registry import LI, SCORES, counts_sql, query, r6, u
 
 FINE = "[" + ", ".join(f"{t!r}e0" for t in C.TAU_FINE) + "]"
 COLS = SP.SHARED_COLUMNS
@@ -79,7 +81,13 @@ def published_scores(spark, d):
     return r6(_counts_of(M.ladder_scores(tr, {"test": te}, top, specs), ["model", "domain"]))
 
 
-@query("knn_scores")
+KNN = f"""v AS (SELECT vec_id AS id, label % 2 AS y, {u("'knn|' || vec_id")} < 0.2e0 AS test, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+st AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM v WHERE NOT test GROUP BY i), z AS (SELECT id, y, test, i, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS x FROM v JOIN st USING (i)),
+ds AS (SELECT q.id AS q, t.id AS t, max(q.y) AS qy, max(t.y) AS ty, sum((q.x - t.x) * (q.x - t.x)) AS d FROM z q JOIN z t ON q.i = t.i AND q.test AND NOT t.test GROUP BY q.id, t.id),
+nn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS rn FROM ds)"""
+
+
+@query("knn_scores", f"WITH {KNN} SELECT q AS row_id, max(qy) AS y, round(avg(ty), 6) AS score FROM nn WHERE rn <= 5 GROUP BY q")
 def knn_scores(spark, d):
     """The share of attacks among five exact neighbours."""
     e = X.table(spark, d, "embeddings").withColumn("y", F.pmod("label", F.lit(2)))
@@ -93,15 +101,18 @@ def knn_scores(spark, d):
 
 @query("calibrated_scores")
 def calibrated_scores(spark, d):
-    """Every calibrator on the calibration fold of the stored scores."""
-    s = X.scores(spark, d).filter("model = 'boost' AND split_seed = 101").persist()
-    cal, tgt = s.filter("domain = 'source_heldout'"), s.filter("domain = 'target'")
-    out = None
-    for kind in ("raw", "platt", "isotonic", "temperature"):
-        c = K.fit_calibrator(cal, kind)(tgt).select(F.lit(kind).alias("calibrator"), "row_id", "y", F.col("calibrated").alias("score"))
-        out = c if out is None else out.unionByName(c)
-    r = C.ece(out, ["calibrator"], ["row_id"]).join(C.brier(out, ["calibrator"]), "calibrator")
-    return r6(r.join(C.rank_metrics(out, ["calibrator"]), "calibrator"))
+    """Every calibrator on the calibration fold of the stored scores, for each model and split."""
+    s = X.scores(spark, d).persist()
+    parts = []
+    for m in X.MODELS:
+        for seed in X.SEEDS:
+            mine = s.filter((F.col("model") == m) & (F.col("split_seed") == seed))
+            cal, tgt = mine.filter("domain = 'source_heldout'"), mine.filter("domain = 'target'")
+            parts += [K.fit_calibrator(cal, kind)(tgt).select("model", "split_seed", F.lit(kind).alias("calibrator"), "row_id", "y", F.col("calibrated").alias("score"))
+                      for kind in ("raw", "platt", "isotonic", "temperature")]
+    out = reduce(lambda a, b: a.unionByName(b), parts).persist()
+    k = ["model", "split_seed", "calibrator"]
+    return r6(C.ece(out, k, ["row_id"]).join(C.brier(out, k), k).join(C.rank_metrics(out, k), k))
 
 
 @query("coral")
@@ -122,8 +133,8 @@ def importance_weights(spark, d):
 
 @query("domain_classifier")
 def domain_classifier(spark, d):
-    """Two folds and ten rounds."""
-    return r6(SH.domain_classifier(_zeek(spark, d), _argus(spark, d), SP.ROBUST_COLUMNS, "row_id", folds=2, max_iter=10))
+    """Five stratified folds, ten rounds."""
+    return r6(SH.domain_classifier(_zeek(spark, d), _argus(spark, d), SP.ROBUST_COLUMNS, "row_id", max_iter=10))
 
 
 @query("novelty")
@@ -236,3 +247,61 @@ def calibration_runs(spark, d):
     """A tree under two calibrators."""
     s = E.calibration_runs(spark, _zeek(spark, d), _argus(spark, d), COLS, [LIGHT[3]], [101], kinds=("raw", "platt"))
     return r6(_counts_of(s, ["seed", "model", "domain", "calibrator"]))
+
+
+PUBLISHED_TOP = ["Seq", "Offset", "SrcBytes", "TotBytes", "DstBytes", "SrcPkts", "TotPkts", "Dur", "tcp", "icmp"]
+NO_POSITION = [c for c in PUBLISHED_TOP if c not in ("Seq", "Offset")] + ["DstPkts", "udp"]
+
+
+@query("published_run")
+def published_run(spark, d):
+    """All rungs, both feature sets and all five models; one repeat, and smaller trees, forests and networks than the specs'."""
+    m = M.PUBLISHED
+    specs = [E.with_params(m["dt"], maxDepth=8), E.with_params(m["rf"], numTrees=5, maxDepth=8), m["nb"], E.with_params(m["mlp"], maxIter=10)]
+    s = E.published_run(spark, X.published_flows(spark, d).persist(), {"published_top10": PUBLISHED_TOP, "no_position_top10": NO_POSITION}, specs, repeats=1)
+    return r6(E.published_summary(s))
+
+
+NATIVE = ["bidirectional_duration_ms", "src2dst_bytes", "dst2src_bytes", "src2dst_packets", "dst2src_packets", "protocol", "tunnel_id"]
+PORTABLE = ["protocol", "src2dst_packets", "dst2src_packets"]
+
+
+def _third(spark, d):
+    n = X.nfstream_flows(spark, d)
+    shared = SP.shared_from_nfstream(n.select("*", *[F.col(c).alias(f"n_{c}") for c in NATIVE]), [*KEEP, "file", *[f"n_{c}" for c in NATIVE]])
+    return shared.persist(), {"shared18": COLS, "native": [f"n_{c}" for c in NATIVE]}
+
+
+@query("third_corpus_run")
+def third_corpus_run(spark, d):
+    """M23 on the third corpus: both protocols and feature sets with a tree, one seed of the random split."""
+    corpus, sets = _third(spark, d)
+    s = E.third_corpus_run(spark, corpus, sets, [LIGHT[3]], [101])
+    return r6(_counts_of(s, ["feature_set", "protocol", "split", "model"]))
+
+
+def _ceiling_sql(name: str, cols: list[str]) -> str:
+    c = ", ".join(cols)
+    return f"""(WITH g AS (SELECT {c}, count(*) AS n, sum(y) AS n1, count(*) - sum(y) AS n0 FROM nf GROUP BY {c}), t AS (SELECT sum(n1) AS s1, sum(n0) AS s0 FROM g),
+p AS (SELECT g.*, (n1 / s1::DOUBLE > n0 / s0::DOUBLE)::INT AS p, (n1 > 0 AND n0 > 0)::INT AS mx FROM g, t)
+SELECT '{name}' AS feature_set, {len(cols)} AS n_features, count(*) AS n_distinct, sum(mx * n)::BIGINT AS flows_in_conflicting, round(sum(mx * n) / sum(n)::DOUBLE, 6) AS share_in_conflicting,
+  round(sum(mx * n1) / sum(n1)::DOUBLE, 6) AS attack_share_in_conflicting, round((sum(p * n1) / sum(n1)::DOUBLE + sum((1 - p) * n0) / sum(n0)::DOUBLE) / 2, 6) AS ba_ceiling FROM p)"""
+
+
+@query("third_corpus_ceilings", f"""WITH {LI}, nf AS (SELECT y, l_suppkey AS bidirectional_duration_ms, l_extendedprice AS src2dst_bytes, l_extendedprice / 10 AS dst2src_bytes, l_quantity AS src2dst_packets,
+  l_linenumber AS dst2src_packets, l_partkey % 4 AS protocol, (l_tax > 0.04e0)::INT AS tunnel_id FROM li) {_ceiling_sql('native', NATIVE)} UNION ALL {_ceiling_sql('portable', PORTABLE)}""")
+def third_corpus_ceilings(spark, d):
+    """A25 for two feature sets of the third corpus."""
+    return r6(E.feature_set_ceilings(X.nfstream_flows(spark, d), {"native": NATIVE, "portable": PORTABLE}))
+
+
+@query("exporter_domains")
+def exporter_domains(spark, d):
+    """M18 in the run on exporter sensitivity: shared and robust features, five folds, ten rounds."""
+    return r6(E.exporter_sensitivity(_zeek(spark, d), _argus(spark, d), {"shared": COLS, "robust": SP.ROBUST_COLUMNS}, max_iter=10)["domain"])
+
+
+@query("exporter_features")
+def exporter_features(spark, d):
+    """A36-A38 of every shared feature, W1 on the source's quantiles."""
+    return r6(E.exporter_features(_zeek(spark, d), _argus(spark, d), COLS, SP.ROBUST_COLUMNS))

@@ -218,3 +218,57 @@ def test_robustness_deltas(spark):
     d = spark.createDataFrame([("m", 0.0, 0.9, 0.8, 0.01), ("m", 0.5, 0.6, 0.5, 0.03)], "model string, eps double, f1_macro double, recall double, fpr double")
     r = R.robustness_deltas(d, ["model"]).filter("eps = 0.5").first()
     assert r.f1_drop == pytest.approx(0.3) and r.recall_drop == pytest.approx(0.3) and r.fpr_rise == pytest.approx(0.02)
+
+
+def test_published_run_has_every_rung(spark, tmp_path):
+    """Files are tested once in R2, stations both ways in R3, the vote only in R0; a second call fits nothing."""
+    r = random.Random(8)
+    rows = [(f"r{i}", int(i % 3 == 0), "c", "g", i % 6 + 1, 1 if i % 6 < 3 else 2, i % 3 != 0 and i % 10 == 0, float(i), r.gauss(2.0 * (i % 3 == 0), 1)) for i in range(240)]
+    d = spark.createDataFrame(rows, "row_id string, y int, category string, grp string, file int, site int, is_copy boolean, pos double, a double").persist()
+    sets, specs = {"published": ["pos", "a"], "clean": ["a"]}, [M.PUBLISHED["nb"], M.BY_KEY["majority"]]
+    path = str(tmp_path / "s")
+    s = E.published_run(spark, d, sets, specs, repeats=2, folds=3, store=path).persist()
+    units = {(x.rung, x.feature_set, x.model): x for x in s.groupBy("rung", "feature_set", "model").agg(F.count_distinct("split").alias("k"), F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids")).collect()}
+    assert {k[2] for k in units if k[0] == "R0"} == {"nb", "majority", "knn"} and {k[2] for k in units if k[0] != "R0"} == {"nb", "majority"}
+    assert {(k[0], k[1]) for k in units} == {("R0", "published"), ("R1", "clean"), *((x, f) for x in ("R2", "R3") for f in sets)}
+    assert all((v.k, v.n) == (2, 144) for k, v in units.items() if k[0] in ("R0", "R1"))
+    assert all((v.k, v.n, v.ids) == ((3, 240, 240) if k[0] == "R2" else (2, 240, 240)) for k, v in units.items() if k[0] in ("R2", "R3"))
+    a = {(x.rung, x.feature_set, x.model): x for x in E.published_summary(s).collect()}
+    assert a["R2", "clean", "nb"].balanced_accuracy > 0.7 and a["R3", "clean", "majority"].recall == 0 and a["R2", "clean", "nb"].n_test == 240
+    n = s.count()
+    assert E.published_run(spark, d, sets, specs, repeats=2, folds=3, store=path).count() == n
+
+
+def test_store_fits_what_a_lost_driver_left_out(spark, table, tmp_path):
+    path = str(tmp_path / "scores")
+    u = lambda: [E.Unit({"split_seed": 1}, table, {"t": table})]         # noqa: E731
+    assert E.run_units(spark, u(), ["a"], [M.BY_KEY["majority"]], store=path).count() == 400
+    assert E.run_units(spark, u(), ["a"], [M.BY_KEY["majority"], M.BY_KEY["stratified"]], store=path).count() == 800
+
+
+def test_third_corpus_and_exporters(spark, table):
+    d = table.withColumn("file", F.col("row_id") % 3).withColumn("row_id", F.col("row_id").cast("string"))
+    sets = {"both": ["a", "b"], "one": ["b"]}
+    s = E.third_corpus_run(spark, d, sets, [M.BY_KEY["logreg"]], [101, 102])
+    n = {(r.feature_set, r.protocol): (r.n, r.k) for r in s.groupBy("feature_set", "protocol").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("k")).collect()}
+    pos = d.filter("y = 1").count()
+    held = round(0.3 * pos) + round(0.3 * (400 - pos))
+    assert n == {(f, p): v for f in sets for p, v in (("random", (2 * held, 2)), ("leave_one_file", (400, 3)))}
+    c = {r.feature_set: r for r in E.feature_set_ceilings(d.withColumn("b", F.lit(1.0)), sets).collect()}
+    assert c["one"].n_distinct == 1 and c["one"].ba_ceiling == pytest.approx(0.5) and c["one"].share_in_conflicting == 1 and c["both"].ba_ceiling == 1
+    far = d.withColumn("a", F.col("a") + 100)
+    out = E.exporter_sensitivity(d, far, sets, max_iter=3, folds=2)
+    dom = {r.feature_set: r.balanced_accuracy for r in out["domain"].collect()}
+    assert dom["both"] == 1 and dom["one"] < 0.7
+    f = {r.feature: r for r in out["features"].collect()}
+    assert f["a"].domain_auc == 1 and f["b"].w1_source_quantile == 0 and (f["a"].robust, f["b"].robust) == (0, 1)
+    m = out["summary"].first()
+    assert m.w1_mean_robust == 0 and m.w1_mean_nonrobust == pytest.approx(f["a"].w1_source_quantile) and m.w1_mean_shared == pytest.approx(m.w1_mean_nonrobust / 2)
+
+
+def test_folds_are_stratified(spark):
+    d = spark.createDataFrame([(i, float(i % 10 < 3)) for i in range(103)], "row_id int, d double")
+    n = {(r.d, r.fold): r["count"] for r in SH.stratified_folds(d, 5, "row_id", 7).groupBy("d", "fold").count().collect()}
+    for c in (0.0, 1.0):
+        sizes = [n[c, k] for k in range(5)]
+        assert max(sizes) - min(sizes) <= 1 and sum(sizes) == sum(1 for i in range(103) if float(i % 10 < 3) == c)
