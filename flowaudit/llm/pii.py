@@ -29,6 +29,7 @@ REACH = 40
 CONFIRMED = {"email": 0.8, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
 CONTEXT_ADDS, NEEDED = 0.2, 0.5
 CHUNK = 64
+BLOCK = 4096
 
 SPAN_TYPE = "array<struct<start:int,end:int,kind:string,score:double>>"
 
@@ -69,17 +70,30 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _sums_before(steps: Column) -> Column:
-    """For each element the sum of those before it: sums of whole chunks, then of the rest of its chunk."""
-    add = lambda a, x: a + x
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")),
-                         lambda k: F.aggregate(F.slice(steps, k * CHUNK + 1, CHUNK), F.lit(0), add))
+def _let(value: Column, then) -> Column:
+    """Name a value inside an expression, so it is computed once and not for each element of a lambda."""
+    return F.get(F.transform(F.array(value), then), 0)
 
-    def before(x, i):
-        k = F.floor(i / CHUNK).cast("int")
-        return F.aggregate(F.slice(chunks, F.lit(1), k), F.lit(0), add) + F.aggregate(F.slice(steps, k * CHUNK + 1, i % CHUNK), F.lit(0), add)
 
-    return F.transform(steps, before)
+def _fold_before(steps: Column, op, start: int = 0) -> Column:
+    """For each element the fold (sums, maxima) of those before it: first of the chunks before, then of the rest of its own chunk."""
+    def fold(xs, first=None):
+        return F.aggregate(xs, F.lit(start) if first is None else first, op)
+
+    def chunks(s):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / CHUNK).cast("int")), lambda k: F.slice(s, k * CHUNK + 1, CHUNK))
+
+    def inner(whole, before):
+        return F.flatten(F.zip_with(whole, before, lambda part, b: F.transform(part, lambda x, i: fold(F.slice(part, F.lit(1), i), b))))
+
+    def outer(whole):
+        return _let(F.transform(whole, lambda part: fold(part)), lambda sums: inner(whole, F.transform(sums, lambda x, i: fold(F.slice(sums, F.lit(1), i)))))
+
+    return _let(steps, lambda s: _let(chunks(s), outer))
+
+
+def _add(a: Column, x: Column) -> Column:
+    return a + x
 
 
 def _sign(kind: str, text: Column) -> Column:
@@ -90,20 +104,43 @@ def _confirms(kind: str):
     return lambda m: _confirmed(kind, m)
 
 
-def _has_confirmed(kind: str):
-    return lambda x: x["m"].isNotNull() & _confirmed(kind, x["m"])
+def _step(kind: str):
+    """A gap and the match behind it: lengths, the gap's last code points, the match and whether it is confirmed."""
+    return lambda g, m: F.struct(F.length(g).alias("gap"), _end_of(g).alias("tail"), F.coalesce(F.length(m), F.lit(0)).alias("len"), m.alias("m"),
+                                 (m.isNotNull() & _confirmed(kind, m)).alias("ok"))
 
 
 def _scores(kind: str):
     """A match as a span with its score; the words of its context stand within REACH before it."""
     def scored(x):
-        before = lower_ascii(F.substring(F.col("_text"), F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))))
-        near = before.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})")
+        near = lower_ascii(x["before"]).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"),
                         (F.lit(CONFIRMED[kind]) + F.when(near, CONTEXT_ADDS).otherwise(0.0)).alias("score"))
     return scored
 
 
+def _end_of(c: Column) -> Column:
+    return F.substring(c, -REACH, REACH)
+
+
+def _placed(at: Column) -> Column:
+    """Matches with their places and the REACH code points before them, in time linear in the matches.
+
+    The code points before a match are the ends of the gaps and matches before it. A match has
+    two code points at least, so half of REACH matches hold enough.
+    """
+    def placed(a):
+        def one(x, i):
+            first = F.greatest(i - REACH // 2, F.lit(0))
+            past = F.array_join(F.transform(F.slice(a, first + 1, i - first), lambda y: F.concat(y["tail"], _end_of(y["m"]))), "")
+            return F.struct(x["gap"].alias("gap"), x["len"].alias("len"), x["m"].alias("m"), _end_of(F.concat(past, x["tail"])).alias("before"))
+        seen = F.transform(a, lambda x, i: F.when(x["ok"], one(x, i)))
+        begins = F.zip_with(seen, _fold_before(F.transform(a, lambda x: x["gap"] + x["len"]), _add), lambda x, b: F.struct(
+            (b + x["gap"]).alias("start"), (b + x["gap"] + x["len"]).alias("end"), x["m"].alias("m"), x["before"].alias("before")))
+        return F.filter(begins, lambda x: x["m"].isNotNull())
+    return _let(at, placed)
+
+
 def find_personal_data(rows: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(row, spans): each row as a struct with its personal data, sorted by start and kind.
 
@@ -127,12 +164,9 @@ def find_personal_data(rows: DataFrame, id_col: str = "row_id", text_col: str =
         hits = F.col(f"_hit_{kind}")
         # the split runs only where something in the hits is confirmed
         sound = F.exists(hits, _confirms(kind))
-        d = d.withColumn(f"_at_{kind}", F.when(sound, F.zip_with(F.split("_text", pattern, -1), hits, lambda g, m: F.struct(
-            F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("len"), m.alias("m")))))
-        at = F.col(f"_at_{kind}")
-        begins = F.zip_with(at, _sums_before(F.transform(at, lambda x: x["gap"] + x["len"])), lambda x, b: F.struct((b + x["gap"]).alias("start"), (b + x["gap"] + x["len"]).alias("end"), x["m"].alias("m")))
-        good = F.filter(begins, _has_confirmed(kind))
-        out.append(F.coalesce(F.filter(F.transform(good, _scores(kind)), lambda s: s["score"] >= NEEDED).cast(SPAN_TYPE), F.array().cast(SPAN_TYPE)))
+        d = d.withColumn(f"_at_{kind}", F.when(sound, F.zip_with(F.split("_text", pattern, -1), hits, _step(kind))))
+        good = F.transform(_placed(F.col(f"_at_{kind}")), _scores(kind))
+        out.append(F.coalesce(F.filter(good, lambda s: s["score"] >= NEEDED).cast(SPAN_TYPE), F.array().cast(SPAN_TYPE)))
     order = list(PATTERNS)
 
     def before(a, b):
@@ -160,17 +194,19 @@ def redacted(rows: DataFrame, id_col: str = "row_id", text_col: str = "text") ->
     found = find_personal_data(rows, id_col, text_col)
     text = F.col(f"row.`{text_col}`")
 
-    def join_overlaps(done, s):
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"), last["score"].alias("score"))))
-        return F.when((F.size(done) == 0) | (s["start"] >= last["end"]), F.concat(done, F.array(s))).otherwise(grown)
-
-    whole = F.aggregate("spans", F.array().cast(SPAN_TYPE), join_overlaps)
-    d = found.withColumn("_whole", F.when(F.size("spans") > 0, whole))
-    w = F.col("_whole")
-    kept = F.transform(w, lambda s, i: F.concat(
-        F.substring(text, F.when(i == 0, 1).otherwise(F.get(w, i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get(w, i - 1)["end"])),
-        F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring(text, F.element_at(w, -1)["end"] + 1, F.length(text))
-    clean = F.when(w.isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return d.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in rows.columns])
+    def piece(blocks, a, b):
+        """Code points a to b, from blocks of the text, so that the text is not read from its start for each span."""
+        return F.when(b <= a, "").otherwise(F.array_join(F.transform(
+            F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")),
+            lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * BLOCK, F.lit(0)) + 1, F.least(b, (k + 1) * BLOCK) - F.greatest(a, k * BLOCK))), ""))
+
+    def joined(blocks, reach):
+        """A span that starts at or behind all ends before it opens a new bracket; the others belong to the last one."""
+        return F.array_join(F.zip_with("spans", reach, lambda s, r: F.when(
+            s["start"] >= r, F.concat(piece(blocks, r, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")), "")
+
+    ends = F.transform("spans", lambda s: s["end"])
+    clean = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.concat(
+        _let(_fold_before(ends, lambda x, y: F.greatest(x, y)), lambda reach: joined(blocks, reach)), piece(blocks, F.array_max(ends), F.length(text))))
+    clean = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return found.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in rows.columns])
