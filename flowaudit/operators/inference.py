@@ -1,8 +1,10 @@
 """Intervals, tests and bootstraps over per-split tables and counts."""
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,18 +125,28 @@ def draw_weights(units: DataFrame, keys: list[str], unit: str, n_boot: int, seed
     n_boot * units rows and is built without a join of all pairs. With `shared`, the key
     is no part of the hash and every key draws the same places.
     """
-    w = Window.partitionBy(*keys).orderBy(unit)
-    placed = units.select(*keys, unit).distinct().withColumn("_place", F.row_number().over(w))
-    placed = placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    placed = _places(units.select(*keys, unit).distinct(), keys, unit, "_place", "_n")
     draws = placed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     parts = [F.lit(seed), F.col("rep"), F.col("_place")]
     if not shared:
         parts = [F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), F.col("_place")]
-    draws = draws.withColumn("_place", (F.floor(S.hash_unit(*parts) * F.col("_n")) + 1).cast("int"))
+    draws = draws.withColumn("_place", _draw(parts, "_n"))
     picked = draws.groupBy(*keys, "rep", "_place").agg(F.count(F.lit(1)).alias(name))
     return picked.join(placed.select(*keys, unit, "_place"), [*keys, "_place"]).drop("_place")
 
 
+def _places(d: DataFrame, keys: list[str], unit: str, place: str, n: str) -> DataFrame:
+    """Number the units of a key from 1 in the order of their hash, and count them.
+
+    Hash buckets are numbered side by side, so a key with most units is many tasks.
+    """
+    return O.hash_rank(d, S.hash_int(unit), [unit], keys, place, totals=True).withColumnRenamed(f"{place}_all", n)
+
+
+def _draw(parts: list[Column], n: str) -> Column:
+    return (F.floor(S.hash_unit(*parts) * F.col(n)) + 1).cast("long")
+
+
 def percentile_ends(df: DataFrame, keys: list[str], cols: list[str], alpha: float = 0.05) -> DataFrame:
     aggs = []
     for c in cols:
@@ -155,6 +167,60 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, unit: str, n_boot
     return out.withColumn("few", (F.col("n") < 30).cast("int"))
 
 
+VALUES_PER_BLOCK, MAX_BLOCKS = 1 << 13, 1 << 12
+
+
+def _generator(*parts) -> np.random.Generator:
+    """The same numbers for the same parts, so a task run again draws what it drew before."""
+    return np.random.default_rng(list(hashlib.sha256("|".join(map(str, parts)).encode()).digest()))
+
+
+def bootstrap_mean_values(df: DataFrame, keys: list[str], value: str, n_boot: int = 10_000,
+                          seed: str = "boot") -> DataFrame:
+    """I7. Percentile bootstrap of a mean over all rows, drawn over distinct values.
+
+    A replicate draws n rows of n. How often it draws each distinct value is multinomial in the
+    values' counts, so the work is distinct values * replicates and rows are only counted. Values are
+    dealt by a hash into blocks of about `VALUES_PER_BLOCK` (at most `MAX_BLOCKS` a key): the n draws
+    are first dealt to the blocks of a key, then each block deals its own to its values, one
+    replicate at a time. Blocks return one sum for each replicate.
+
+    NULL and NaN values do not count; a key without others has no row. NULL keys are a group.
+    """
+    keys = list(keys)
+    v = df.select(*keys, S.dbl(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    v = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    size = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum(F.col("_v") * F.col("_c")).alias("_s"),
+                                F.sum("_c").alias("n"))
+    blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_d") / VALUES_PER_BLOCK)).cast("int")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    sized = size.select(*[F.col(k).alias(f"_k_{k}") for k in keys], blocks.alias("_blocks"))
+    v = v.join(sized, on).select(*keys, F.pmod(F.xxhash64("_v"), F.col("_blocks")).cast("int").alias("_b"), "_v", "_c")
+    per = v.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in per.select(*keys).schema.fields)
+
+    def deal(key, t):
+        t = t.sort_values("_b")
+        p = t["_c"].to_numpy(np.float64)
+        got = _generator(seed, "blocks", *key).multinomial(int(t["_c"].sum()), p / p.sum(), size=n_boot)
+        return t[[*keys, "_b"]].assign(_k=list(got.T))
+
+    def sums(key, t, drawn):
+        t = t.sort_values("_v")
+        x, p = t["_v"].to_numpy(np.float64), t["_c"].to_numpy(np.float64)
+        rng, p = _generator(seed, "values", *key), p / p.sum()
+        s = [rng.multinomial(int(k), p) @ x for k in drawn["_k"].iloc[0]]
+        return t[keys].head(1).assign(_x=[np.array(s)])
+
+    drawn = per.groupBy(*keys).applyInPandas(deal, f"{types}_b int, _k array<bigint>")
+    parts = v.groupBy(*keys, "_b").cogroup(drawn.groupBy(*keys, "_b")).applyInPandas(sums, f"{types}_x array<double>")
+    reps = parts.select(*keys, F.posexplode("_x").alias("rep", "_x")).groupBy(*keys, "rep").agg(F.sum("_x").alias("boot"))
+    ends = percentile_ends(reps, keys, ["boot"]).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    n = F.col("n")
+    return size.join(ends, on).select(*keys, (F.col("_s") / n).alias("mean"), "n", (F.col("boot_lo") / n).alias("boot_lo"),
+                                      (F.col("boot_hi") / n).alias("boot_hi"), "n_boot", (n < 30).cast("int").alias("few"))
+
+
 def _weighted_cells(counts: DataFrame, weights: list[tuple[DataFrame, list[str]]],
                     keys: list[str]) -> DataFrame:
     """Counts joined to resampling weights and summed per (keys, rep)."""
@@ -243,24 +309,18 @@ def _nested_reps(tgt: DataFrame, keys: list[str], cluster: str, split: str, n_bo
 
     A split drawn k times resamples its clusters k times, once per draw.
     """
-    splits = tgt.select(*keys, split).distinct()
-    w = Window.partitionBy(*keys).orderBy(split)
-    placed = splits.withColumn("_place", F.row_number().over(w)) \
-        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    placed = _places(tgt.select(*keys, split).distinct(), keys, split, "_place", "_n")
     draws = placed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     draws = draws.select(*keys, "rep", F.col("_place").alias("draw"),
-                         (F.floor(S.hash_unit(F.lit(f"{seed}s"), *[F.col(k) for k in keys], "rep", "_place")
-                                  * F.col("_n")) + 1).cast("int").alias("_place"))
+                         _draw([F.lit(f"{seed}s"), *[F.col(k) for k in keys], "rep", "_place"], "_n").alias("_place"))
     picked = draws.join(placed.select(*keys, split, "_place"), [*keys, "_place"]).drop("_place")
-    clw = Window.partitionBy(*keys, split).orderBy(cluster)
-    cl = tgt.groupBy(*keys, split, cluster).agg(*[F.sum(c).alias(c) for c in C.CELLS]) \
-        .withColumn("_cp", F.row_number().over(clw)) \
-        .withColumn("_cn", F.count(F.lit(1)).over(Window.partitionBy(*keys, split)))
+    cl = _places(tgt.groupBy(*keys, split, cluster).agg(*[F.sum(c).alias(c) for c in C.CELLS]),
+                 [*keys, split], cluster, "_cp", "_cn")
     d = picked.join(cl.select(*keys, split, "_cp", "_cn"), [*keys, split])
     parts = [F.lit(f"{seed}c"), *[F.col(k) for k in keys], F.col("rep"), F.col("_cp")]
     if not joint_clusters:
         parts.append(F.col("draw"))
-    d = d.withColumn("_cp", (F.floor(S.hash_unit(*parts) * F.col("_cn")) + 1).cast("int"))
+    d = d.withColumn("_cp", _draw(parts, "_cn"))
     d = d.groupBy(*keys, split, "rep", "draw", "_cp").agg(F.count(F.lit(1)).alias("_w"))
     d = d.join(cl.drop("_cn"), [*keys, split, "_cp"])
     return d.groupBy(*keys, "rep", "draw", split).agg(

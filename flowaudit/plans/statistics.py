@@ -183,20 +183,28 @@ def min_detectable_effect(spark, d):
 
 
 def _draws(seed: str, src: str, key: str, unit: str, n: int, out: str) -> str:
-    return f"""{out}p AS (SELECT {key}, {unit}, row_number() OVER (PARTITION BY {key} ORDER BY {unit}) AS pl, count(*) OVER (PARTITION BY {key}) AS n FROM (SELECT DISTINCT {key}, {unit} FROM {src})),
+    return f"""{out}p AS (SELECT {key}, {unit}, row_number() OVER (PARTITION BY {key} ORDER BY {h(unit + '::VARCHAR')}, {unit}) AS pl, count(*) OVER (PARTITION BY {key}) AS n FROM (SELECT DISTINCT {key}, {unit} FROM {src})),
 {out}d AS (SELECT {key}, rep, (floor({u(f"'{seed}|' || {key} || '|' || rep || '|' || pl")} * n) + 1)::INT AS pl, count(*) AS w FROM {out}p, (SELECT unnest(range(1, {n + 1})) AS rep) GROUP BY ALL),
 {out} AS (SELECT {key}, rep, {unit}, w FROM {out}d JOIN {out}p USING ({key}, pl))"""
 
 
-@query("bootstrap_mean", f"""WITH v AS (SELECT s_nationkey AS k, s_suppkey AS id, s_acctbal AS v FROM supplier), {_draws('boot', 'v', 'k', 'id', 300, 'w')}, b AS (SELECT k, rep, sum(w * v) / sum(w) AS x FROM w JOIN v USING (k, id) GROUP BY k, rep),
+@query("bootstrap_mean", f"""WITH v AS (SELECT s_nationkey AS k, s_suppkey AS id, s_acctbal AS v FROM supplier), {_draws('boot', 'v', 'k', 'id', 2000, 'w')}, b AS (SELECT k, rep, sum(w * v) / sum(w) AS x FROM w JOIN v USING (k, id) GROUP BY k, rep),
 m AS (SELECT k, avg(v) AS mean, count(*) AS n FROM v GROUP BY k) SELECT k, round(max(mean), 4) AS mean, max(n) AS n, round(quantile_cont(x, 0.025), 4) AS boot_lo, round(quantile_cont(x, 0.975), 4) AS boot_hi, count(*) AS n_boot, (max(n) < 30)::INT AS few FROM m JOIN b USING (k) GROUP BY k""")
 def bootstrap_mean(spark, d):
     """I7."""
     s = X.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"))
-    r = I.bootstrap_mean(s, ["k"], "v", "id", 300)
+    r = I.bootstrap_mean(s, ["k"], "v", "id", 2000)
     return r.select("k", "n", "n_boot", "few", *[F.round(c, 4).alias(c) for c in ("mean", "boot_lo", "boot_hi")])
 
 
+@query("bootstrap_mean_values")
+def bootstrap_mean_values(spark, d):
+    """I7 over all line items: quantities have few distinct values, prices many. Draws by numpy have no SQL twin."""
+    li = X.table(spark, d, "lineitem").select("l_linestatus", F.explode(F.create_map(F.lit("quantity"), F.col("l_quantity").cast("double"), F.lit("price"), F.col("l_extendedprice").cast("double"))).alias("measure", "v"))
+    r = I.bootstrap_mean_values(li, ["l_linestatus", "measure"], "v", 2000)
+    return r.select("l_linestatus", "measure", "n", "n_boot", "few", *[F.round(c, 4).alias(c) for c in ("mean", "boot_lo", "boot_hi")])
+
+
 CLUSTER = SCORES + ", " + counts_sql('model, split_seed, "file"', "(SELECT * FROM scores WHERE \"domain\" = 'target')", name="cc")
 
 
@@ -204,14 +212,14 @@ def _cluster_counts(spark, d):
     return C.counts_at(X.scores(spark, d).filter("domain = 'target'"), C.TAU_GRID, ["model", "split_seed", "file"])
 
 
-@query("cluster_bootstrap", f"""WITH {CLUSTER}, {_draws('7c', 'cc', 'model', '"file"', 200, 'wc')}, {_draws('7s', 'cc', 'model', 'split_seed', 200, 'ws')},
+@query("cluster_bootstrap", f"""WITH {CLUSTER}, {_draws('7c', 'cc', 'model', '"file"', 2000, 'wc')}, {_draws('7s', 'cc', 'model', 'split_seed', 2000, 'ws')},
 r AS (SELECT model, rep, tau, sum(wc.w * ws.w * tp) AS tp, sum(wc.w * ws.w * fp) AS fp, sum(wc.w * ws.w * fn) AS fn, sum(wc.w * ws.w * tn) AS tn FROM cc JOIN wc USING (model, "file") JOIN ws USING (model, rep, split_seed) GROUP BY model, rep, tau),
 q AS (SELECT model, rep, tau, tp / greatest(tp + fn, 1)::DOUBLE AS tpr, fp / greatest(fp + tn, 1)::DOUBLE AS fpr FROM r), v AS (SELECT *, {ppv_sql('tpr', 'fpr')} AS ppv FROM q),
 s AS (SELECT model, rep, max(tpr) FILTER (WHERE abs(tau - 0.5e0) < 1e-9) AS tpr, max(fpr) FILTER (WHERE abs(tau - 0.5e0) < 1e-9) AS fpr, max(ppv) FILTER (WHERE abs(tau - 0.5e0) < 1e-9) AS ppv, max(ppv) FILTER (WHERE tpr >= 0.1e0) AS best_ppv FROM v GROUP BY model, rep)
 SELECT model, {', '.join(f'round(quantile_cont({c}, 0.025), 6) AS {c}_lo, round(quantile_cont({c}, 0.975), 6) AS {c}_hi' for c in ('tpr', 'fpr', 'ppv', 'best_ppv'))}, count(*) AS n_boot FROM s GROUP BY model""")
 def cluster_bootstrap(spark, d):
     """I8."""
-    return r6(I.cluster_bootstrap(_cluster_counts(spark, d), ["model"], "file", "split_seed", 200, "7"))
+    return r6(I.cluster_bootstrap(_cluster_counts(spark, d), ["model"], "file", "split_seed", 2000, "7"))
 
 
 @query("delta_ba_bootstrap")
@@ -219,14 +227,14 @@ def delta_ba_bootstrap(spark, d):
     """A bias-corrected interval; the normal distribution has no SQL twin."""
     s = C.counts_at(X.scores(spark, d).filter("domain = 'source_heldout'"), [0.5], ["model", "split_seed", "file"])
     t = C.counts_at(X.scores(spark, d).filter("domain = 'target'"), [0.5], ["model", "split_seed", "file"])
-    return r6(I.delta_ba_bootstrap(s, t, ["model"], "file", n_boot=200))
+    return r6(I.delta_ba_bootstrap(s, t, ["model"], "file"))
 
 
 @query("mean_ba_bootstrap")
 def mean_ba_bootstrap(spark, d):
     """I11."""
     t = C.counts_at(X.scores(spark, d).filter("domain = 'target'"), [0.5], ["model", "split_seed", "file"])
-    return r6(I.mean_ba_bootstrap(t, ["model"], "file", n_boot=200))
+    return r6(I.mean_ba_bootstrap(t, ["model"], "file"))
 
 
 @query("paired_reference_bootstrap")
@@ -235,14 +243,14 @@ def paired_reference_bootstrap(spark, d):
     k = ["model", "split_seed", "file"]
     s = C.counts_at(X.scores(spark, d).filter("domain = 'source_heldout'"), [0.5], k).groupBy("model", "file").agg(*[F.sum(c).alias(c) for c in C.CELLS])
     t = C.counts_at(X.scores(spark, d).filter("domain = 'target'"), [0.5], k)
-    return r6(I.paired_reference_bootstrap(s, t, ["model"], "file", n_boot=200))
+    return r6(I.paired_reference_bootstrap(s, t, ["model"], "file"))
 
 
 @query("pooled_bootstrap")
 def pooled_bootstrap(spark, d):
     """I13."""
     t = C.counts_at(X.scores(spark, d).filter("domain = 'target'"), [0.5], ["model", "split_seed", "file"])
-    return r6(I.pooled_bootstrap(t, ["model"], "file", n_boot=200))
+    return r6(I.pooled_bootstrap(t, ["model"], "file"))
 
 
 # ---------------------------------------------------- drift and positions

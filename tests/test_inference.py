@@ -1,8 +1,10 @@
+import hashlib
 import itertools
 import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,41 @@ def test_identical_reference_has_no_gap(spark):
 def test_spearman(spark):
     d = spark.createDataFrame([(1, 10), (2, 20), (3, 15), (3, 40)], "x int, y int").withColumn("k", F.lit(1))
     assert I.rank_correlation(d, ["k"], "x", "y").first().rho == pytest.approx(3.0 / math.sqrt(4.5 * 5.0))     # ranks 1, 2, 3.5, 3.5 and 1, 3, 2, 4
+
+
+def test_units_of_one_key_are_numbered_without_gaps(spark):
+    d = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise("cold").alias("k"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("unit"))
+    p = I._places(d, ["k"], "unit", "place", "n").collect()
+    for k, n in (("hot", 400), ("cold", 100)):
+        mine = sorted((first_bits(r.unit), r.place) for r in p if r.k == k)
+        assert [x for _, x in mine] == list(range(1, n + 1)) and {r.n for r in p if r.k == k} == {n}
+
+
+def first_bits(x):
+    return int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+
+
+@pytest.mark.parametrize("per_block", [1, 7, 1 << 13])
+def test_bootstrap_over_values_equals_one_over_rows(spark, monkeypatch, per_block):
+    """One value holds two thirds of the rows; the values may lie in one block or in many."""
+    monkeypatch.setattr(I, "VALUES_PER_BLOCK", per_block)
+    rnd = np.random.default_rng(3)
+    v = np.concatenate([np.full(600, 4.0), rnd.integers(0, 40, 300).astype(float)])
+    rows = [("a", float(x)) for x in v] + [("b", 5.0)] * 7 + [("c", None), ("d", float("nan")), (None, 1.0), (None, 3.0)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    run = lambda: {r.k: r for r in I.bootstrap_mean_values(d.repartition(3), ["k"], "v", 4000).collect()}          # noqa: E731
+    got = run()
+    assert set(got) == {"a", "b", None}
+    a = got["a"]
+    means = rnd.choice(v, (4000, len(v))).mean(axis=1)
+    assert (a.n, a.n_boot, a.few) == (900, 4000, 0) and a.mean == pytest.approx(v.mean())
+    se = v.std() / math.sqrt(len(v))
+    assert abs(a.boot_lo - np.quantile(means, 0.025)) < 0.2 * se and abs(a.boot_hi - np.quantile(means, 0.975)) < 0.2 * se
+    b, none = got["b"], got[None]
+    assert (b.n, b.mean, b.boot_lo, b.boot_hi, b.few) == (7, 5, 5, 5, 1)
+    assert (none.n, none.mean, none.boot_lo, none.boot_hi) == (2, 2, 1, 3)
+    assert run()["a"].boot_lo == pytest.approx(a.boot_lo, rel=1e-12)
+
+
+def test_bootstrap_over_values_of_an_empty_table(spark):
+    assert I.bootstrap_mean_values(spark.createDataFrame([], "k string, v double"), ["k"], "v", 50).count() == 0
