@@ -60,6 +60,15 @@ def stream_rates(spark, d):
     return r6(run_available(ST.stream_rates(_like_events(_event_stream(spark, d))), "rates", rocks=True))
 
 
+@query("stream_lateness", f"""WITH {T.EV}, a AS (SELECT user_id, us, max(us) OVER (PARTITION BY user_id ORDER BY event_id + event_id * 7919 % 1000, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ev), l AS (SELECT user_id, greatest(coalesce(seen - us, 0), 0) AS lag_us FROM a)
+SELECT user_id, count(*) AS n, count(*) FILTER (WHERE lag_us > 0) AS n_behind, count(*) FILTER (WHERE lag_us > 86400000000) AS n_late, max(lag_us) AS max_lag_us FROM l GROUP BY user_id""")
+def stream_lateness(spark, d):
+    """Events held up by up to 1,000 others, late when a day behind the latest of their device."""
+    e = _like_events(_event_stream(spark, d)).select("user_id", "us", ((F.col("event_id") + F.col("event_id") * 7919 % 1000) * 1_000_000_000 + F.col("event_id")).alias("arrival"))
+    r = run_available(ST.stream_lateness(e, "user_id", "us", "arrival", 86400), "late", rocks=True)
+    return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lag_us") > 0).alias("n_behind"), F.count_if("late").alias("n_late"), F.max("lag_us").alias("max_lag_us"))
+
+
 @query("stream_windows", f"""WITH {T.EV}, b AS (SELECT user_id % 5 AS k, us, value FROM ev), w AS (SELECT k, us // 3600000000 * 3600000000 AS win_start, count(*) AS n_records, avg(value) AS m, stddev_pop(value) AS sd FROM b GROUP BY ALL)
 SELECT k, win_start, n_records, round(m, 6) AS value_mean, round(sd, 6) AS value_sd FROM w WHERE win_start + 3600000000 <= (SELECT max(us) FROM ev)""")
 def stream_windows(spark, d):

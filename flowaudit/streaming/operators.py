@@ -101,44 +101,109 @@ def stream_windows(records: DataFrame, keys: list[str], cols: list[str], ts: str
     return g.select(*keys, F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), *[c for c in g.columns if c not in (*keys, "w")])
 
 
+def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame | None:
+    got = [b for b in rows if len(b)]
+    return pd.concat(got).sort_values(order) if got else None
+
+
 class RateProcessor(StatefulProcessor):
     """X4. The previous record of each device."""
 
-    def __init__(self, counter: str):
-        self.counter = counter
+    def __init__(self, key: str, ts: str, row_id: str, counter: str):
+        self.key, self.ts, self.row_id, self.counter = key, ts, row_id, counter
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.prev = handle.getValueState("prev", "us long, c long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = [b for b in rows if len(b)]
-        if not got:
+        d = _in_order(rows, [self.ts, self.row_id])
+        if d is None:
             return
-        d = pd.concat(got).sort_values(["us", "event_id"])
-        p = self.prev.get() if self.prev.exists() else None
-        out = []
-        for us, eid, c in zip(d["us"], d["event_id"], d[self.counter]):
-            rate, clamped = None, 0
-            if p is not None:
-                dt, delta = (us - p[0]) / 1e6, c - p[1]
-                clamped = int(delta < 0)
-                rate = max(delta, 0) / dt if dt > 0 else None
-            out.append((key[0], eid, rate, clamped))
-            p = (int(us), int(c))
-        self.prev.update(p)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "rate", "clamped"])
+        d = d.reset_index(drop=True)
+        us, c = d[self.ts].astype("int64"), d[self.counter].astype("int64")
+        dt, delta = us.diff() / 1e6, c.diff()
+        if self.prev.exists():
+            us0, c0 = self.prev.get()
+            dt.iloc[0], delta.iloc[0] = (us[0] - us0) / 1e6, c[0] - c0
+        self.prev.update((int(us.iloc[-1]), int(c.iloc[-1])))
+        yield pd.DataFrame({self.key: key[0], self.row_id: d[self.row_id], "rate": (delta.clip(lower=0) / dt).where(dt > 0),
+                            "clamped": (delta < 0).astype("int32")})
 
     def close(self) -> None:
         pass
 
 
-def stream_rates(records: DataFrame, counter: str = "counter") -> DataFrame:
-    """X4. Per-device counter rates with ValueState."""
-    return records.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=RateProcessor(counter), outputStructType="user_id long, event_id long, rate double, clamped int",
+def _type(d: DataFrame, c: str) -> str:
+    return f"`{c}` {d.schema[c].dataType.simpleString()}"
+
+
+def stream_rates(records: DataFrame, counter: str = "counter", key: str = "user_id", ts: str = "us", row_id: str = "event_id") -> DataFrame:
+    """X4. Per-device counter rates with ValueState: records of `key` by (`ts` in microseconds, `row_id`)."""
+    d = records.select(key, ts, row_id, counter)
+    return d.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=RateProcessor(key, ts, row_id, counter), outputStructType=f"{_type(d, key)}, {_type(d, row_id)}, rate double, clamped int",
         outputMode="Append", timeMode="None")
 
 
+class LatenessProcessor(StatefulProcessor):
+    """X6. The latest time seen of each key."""
+
+    def __init__(self, ts: str, arrival: str, delay_us: int, columns: list[str]):
+        self.ts, self.arrival, self.delay_us, self.columns = ts, arrival, delay_us, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        d = _in_order(rows, [self.arrival])
+        if d is None:
+            return
+        us = d[self.ts].astype("int64").reset_index(drop=True)
+        before = self.seen.get()[0] if self.seen.exists() else int(us.iloc[0])
+        latest = us.cummax().clip(lower=before)
+        self.seen.update((int(latest.iloc[-1]),))
+        lag = (latest.shift(1, fill_value=before) - us).clip(lower=0)
+        d = d.reset_index(drop=True)[self.columns]
+        yield d.assign(lag_us=lag, late=lag > self.delay_us)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_lateness(records: DataFrame, key: str, ts: str, arrival: str, delay_s: float) -> DataFrame:
+    """X6. Every record with `lag_us`, how far it lies behind the latest earlier arrival of its key, and `late`.
+
+    Times `ts` are microseconds; `arrival` orders the records of a key as they came and must grow
+    from one micro-batch to the next. A record is late when its lag is greater than `delay_s`. Nothing
+    is dropped, and how the stream is cut into micro-batches changes nothing. The state is one number
+    a key; the records of one key in one micro-batch are held in memory, so bound the micro-batch.
+    Records without a time or an arrival cannot be placed: they come out late with a NULL lag.
+    A watermark in contrast is one time for all keys. Columns named `lag_us` or `late` are replaced.
+    """
+    d = records.drop("lag_us", "late")
+    placed = F.col(ts).isNotNull() & F.col(arrival).isNotNull()
+    types = ", ".join(_type(d, c) for c in d.columns)
+    out = d.filter(placed).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=LatenessProcessor(ts, arrival, int(delay_s * 1e6), d.columns),
+        outputStructType=f"{types}, lag_us long, late boolean", outputMode="Append", timeMode="None")
+    return out.unionByName(d.filter(~placed).withColumns({"lag_us": F.lit(None).cast("long"), "late": F.lit(True)}))
+
+
+def late_sink(path: str, late_path: str) -> Callable[[DataFrame, int], None]:
+    """X6. foreachBatch sink of `stream_lateness`: records in time to one path, late ones to another.
+
+    As in `alert_sink`, a batch owns the folder `batch_id=<n>` in both, and a replay writes it anew.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            for late, to in ((False, path), (True, late_path)):
+                kept.filter(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{to}/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
+    return run
+
+
 def alert_sink(model, cols: list[str], path: str, tau: float = 0.5, row_id: str = "row_id") -> Callable[[DataFrame, int], None]:
     """X5. foreachBatch sink: score finished windows with a fitted model and write the alerts.
 
