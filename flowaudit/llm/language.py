@@ -57,24 +57,29 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float            # below this calibrated probability a text is rejected
+    known: np.ndarray           # logarithm of one plus a bucket's count over the sample
+    least: float = -1.0         # below this average of them a text is rejected, whatever its probability
 
-    def logits(self, text: str) -> np.ndarray | None:
-        total, n = np.zeros(len(self.langs)), 0
+    def read(self, text: str) -> tuple[np.ndarray, float] | None:
+        """(logits, average of `known`) over the subwords of a text."""
+        total, known, n = np.zeros(len(self.langs)), 0.0, 0
         for g in subwords(text):
             total += [by_bucket.take(g).sum(dtype=np.float64) for by_bucket in self.scores]
+            known += float(self.known.take(g).sum(dtype=np.float64))
             n += len(g)
-        return total / n + self.bias if n else None
+        return (total / n + self.bias, known / n) if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, rejected); `und` and 0 without letters."""
         if not text or not LETTER.search(text):
             return UNDECIDED, 0.0, True
-        z = self.logits(text)
-        if z is None:
+        got = self.read(text)
+        if got is None:
             return UNDECIDED, 0.0, True
+        z, known = got
         p = softmax(z[None] / self.temperature)[0]
         k = int(p.argmax())
-        return self.langs[k], float(p[k]), bool(p[k] < self.threshold)
+        return self.langs[k], float(p[k]), bool(p[k] < self.threshold or known < self.least)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -103,20 +108,23 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
 
     The threshold is the 0.1 % quantile of the calibrated probability over the texts held aside
     that were told rightly, but a tenth of the way from chance to certainty at most: clean texts,
-    the shortest included, pass.
+    the shortest included, pass. A softmax is sure of some language for any text, so a text must
+    also be made of subwords that the sample had: the average logarithm of their counts must lie
+    halfway or more from that of buckets drawn by chance to the least over the whole texts held aside.
     """
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
     if not langs:
-        return Model([UNDECIDED], np.zeros((1, BUCKETS), np.float32), np.zeros(1), 1.0, 0.0)
+        return Model([UNDECIDED], np.zeros((1, BUCKETS), np.float32), np.zeros(1), 1.0, 0.0, np.zeros(BUCKETS, np.float32))
     index = {k: i for i, k in enumerate(langs)}
     aside = rng.random(len(texts)) < 0.1
     split = [([t for t, a in zip(texts, aside) if a == side], [index[k] for k, a in zip(labels, aside) if a == side]) for side in (False, True)]
     (tr, ytr), (ev, yev) = (_excerpts(t, y, rng) for t, y in split)
-    bags = []
+    bags, counts = [], np.zeros(BUCKETS)
     for t in tr:
         g = np.concatenate(list(subwords(t)))
         ids, c = np.unique(g, return_counts=True)
+        counts[ids] += c
         bags.append((ids, (c / max(1, len(g))).astype(np.float32)))
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
@@ -136,8 +144,12 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
             out -= 0.1 * lr * np.outer(v, g)
             bias -= 0.01 * lr * g
             emb[ids] -= lr * back                              # the average moves by as much as each embedding
-    m = Model(langs, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), 1.0, 0.0)
-    kept = [(z, k) for t, k in zip(ev, yev) if (z := m.logits(t)) is not None]
+    m = Model(langs, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), 1.0, 0.0, np.log1p(counts).astype(np.float32))
+    whole = [got[1] for t in split[1][0] if LETTER.search(t) and (got := m.read(t)) is not None]
+    if whole:
+        by_chance = float(m.known.mean(dtype=np.float64))
+        m.least = by_chance + 0.5 * (min(whole) - by_chance)
+    kept = [(got[0], k) for t, k in zip(ev, yev) if (got := m.read(t)) is not None]
     if kept:
         z, k = np.array([a for a, _ in kept]), np.array([b for _, b in kept])
         grid = np.geomspace(0.02, 5, 60)

@@ -97,6 +97,23 @@ def test_language_on_held_out_rows(spark, data):
     assert sum(r.rejected for r in rows) <= 2
 
 
+def test_language_rejects_what_the_sample_does_not_hold(spark, data):
+    """Other scripts, noise and encoded bytes go; whole documents and runs of 30 of their words stay."""
+    d = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    m = language.fit(d, "doc_id", "text", "lang")
+    rng = np.random.default_rng(1)
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю вместе с друзьями у реки", "안녕하세요 오늘 날씨가 정말 좋네요 우리 바다에 놀러 갑시다",
+               "तेज़ भूरी लोमड़ी आलसी कुत्ते के ऊपर से कूदती है और जंगल में भाग जाती है", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί",
+               "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 400)), "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 600))]
+    texts = [r.text for r in d.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 40]
+    runs = [" ".join(t.split()[5:35]) for t in texts]
+    assert all(m.predict(t)[2] for t in foreign)
+    assert not any(m.predict(t)[2] for t in texts)
+    assert np.mean([m.predict(t)[2] for t in runs]) < 0.005
+    kept = language.keep_identified(frame(spark, foreign + texts[:20] + [None, ""]), m).collect()
+    assert sorted(r.row_id for r in kept) == list(range(len(foreign), len(foreign) + 20))
+
+
 def test_language_odd_rows(spark):
     m = language.train(["the cat and the dog " * 5, "le chat et le chien " * 5] * 30, ["en", "fr"] * 30)
     got = {r.row_id: r for r in language.identify(frame(spark, ODD + ["le chien", "the dog"]), m).collect()}
